@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagpair.llm import decontaminate, secrets, warc
+from lagpair.llm import decontaminate, packing, secrets, token_store, warc
 from lagpair.llm.common import documents
 
 
@@ -64,9 +65,21 @@ select dw.doc_id, len(dw.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_
 from dw left join words using (doc_id) left join items using (doc_id)
 """
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_store.new_folder(spark)
+    manifest = token_store.write_tokens(documents(spark, sf_dir), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_store.read_documents(manifest, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op7_secrets": op7_secrets,
     "op8_decontaminate": op8_decontaminate,
+    "op9_packing": op9_packing,
+    "op10_token_store": op10_token_store,
 }
 ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op8_decontaminate": OP8_SQL}

@@ -8,6 +8,8 @@ hashed by one subtraction and one multiplication.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +21,8 @@ CHUNK_BYTES = 2 << 20
 HASH_BITS = 52
 HASH_MASK = np.uint64((1 << HASH_BITS) - 1)
 
-_MULT = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_MULT, -1, 1 << 64)
+MULT = 0x9E3779B97F4A7C15 | 1
+INVERSE = pow(MULT, -1, 1 << 64)
 
 
 def _lut(predicate) -> np.ndarray:
@@ -36,16 +38,20 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.
 _BYTE_VALUE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE_VALUE = _BYTE_VALUE[LOWER]
 
-_powers: dict[str, np.ndarray] = {}
 
+def cache() -> dict:
+    """What a process keeps from task to task. It stands in a module of its own, as globals of this one travel with every task."""
+    return sys.modules.setdefault("_lagpair_cache", types.ModuleType("_lagpair_cache")).__dict__
 
-def _power_table(base: int, size: int) -> np.ndarray:
-    key = str(base)
-    table = _powers.get(key)
+
+def power_table(base: int, size: int) -> np.ndarray:
+    """base ** 0, base ** 1, ... modulo 2**64, ``size`` of them at least."""
+    key = f"powers {base}"
+    table = cache().get(key)
     if table is None or len(table) < size:
         grown = np.full(max(size, CHUNK_BYTES + 4096), np.uint64(base), dtype=np.uint64)
         grown[0] = 1
-        table = _powers[key] = np.multiply.accumulate(grown)
+        table = cache()[key] = np.multiply.accumulate(grown)
     return table
 
 
@@ -100,8 +106,8 @@ def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray = SPACED) ->
     last[:-1] &= ~body[1:] | edge[1:-1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUE[raw] * _power_table(_MULT, n)[:n], out=sums[1:])
-    hashed = (sums[end] - sums[start]) * _power_table(_INV, n)[start]
+    np.cumsum(_BYTE_VALUE[raw] * power_table(MULT, n)[:n], out=sums[1:])
+    hashed = (sums[end] - sums[start]) * power_table(INVERSE, n)[start]
     hashed = mix(hashed + (end - start).astype(np.uint64))
     return hashed, start, end, np.searchsorted(start, offsets)
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagpair.llm import decontaminate, packing, secrets, token_store, warc
+from lagpair.llm import decontaminate, language_id, packing, secrets, token_store, toxicity, warc
 from lagpair.llm.common import documents
 
 
@@ -32,6 +32,14 @@ from c
 """
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir))
 
@@ -77,6 +85,8 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
+    "op5_language_id": op5_language_id,
+    "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
     "op8_decontaminate": op8_decontaminate,
     "op9_packing": op9_packing,

@@ -8,10 +8,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagpair.llm import decontaminate, language_id, packing, secrets, token_store, toxicity, warc
+from lagpair.llm import decontaminate, language_id, near_dedup, packing, secrets, token_store, toxicity, warc
 from lagpair.llm.common import documents
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), shingle=4, percent=80)
+
+
+OP1_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select distinct doc_id, array_to_string(w[k : k + 3], ' ') as s from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) as k from w where len(w) > 0)
+), n as (select doc_id, count(*) as n from s group by doc_id),
+i as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id
+), l as (
+  select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)
+), e as (select a, b from l union all select b, a from l),
+r(doc_id, c) as (select doc_id, doc_id from documents union select e.b, r.c from r join e on e.a = r.doc_id)
+select doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(c) as component_id, doc_id = min(c) as kept from r left join n using (doc_id) group by doc_id
+"""
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -84,6 +104,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op4_warc": op4_warc,
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
@@ -92,4 +113,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_token_store": op10_token_store,
 }
-ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op8_decontaminate": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op4_warc": OP4_SQL, "op8_decontaminate": OP8_SQL}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagpair.llm import decontaminate, language_id, near_dedup, packing, secrets, token_store, toxicity, warc
+from lagpair.llm import decontaminate, language_id, near_dedup, packing, quality_rules, secrets, token_counts, token_store, toxicity, warc
 from lagpair.llm.common import documents
 
 
@@ -32,6 +32,25 @@ select doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(c) as comp
 """
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.rollup(documents(spark, sf_dir), token_counts.RollupStore(spark))
+
+
+OP2_SQL = r"""
+with c as (
+  select source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as a, len(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))::bigint as b from documents
+), t as (
+  select source, lang, 'words@1' as tokenizer, a as n from c where a > 0 union all select source, lang, 'alnum@1', b from c where a > 0
+)
+select source, lang, tokenizer, count(*)::bigint as n_docs, sum(n)::bigint as n_tokens from t group by all
+"""
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -105,6 +124,8 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_token_counts": op2_token_counts,
+    "op3_quality_rules": op3_quality_rules,
     "op4_warc": op4_warc,
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
@@ -113,4 +134,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_token_store": op10_token_store,
 }
-ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op4_warc": OP4_SQL, "op8_decontaminate": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op2_token_counts": OP2_SQL, "op4_warc": OP4_SQL, "op8_decontaminate": OP8_SQL}

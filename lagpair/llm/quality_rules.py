@@ -108,19 +108,22 @@ def statistics(docs: DataFrame) -> DataFrame:
     ).select("doc_id", "w.*", "l.*", "n_symbols", "n_bars", "n_upper")
 
 
-def ratios() -> dict[str, Column]:
-    """What rules test: shares, so that they do not depend on a text's length, and the length itself."""
-    words, lines, chars = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "n_lines", "word_chars"))
-    return {
-        "words": F.col("n_words").cast("double"),
-        "word_length": F.col("word_chars") / words,
-        "symbols_per_word": F.col("n_symbols") / words,
-        "bars_per_word": F.col("n_bars") / words,
-        "dup_line_share": F.col("n_dup_lines") / lines,
-        "repeat_share": F.col("n_repeat_words") / words,
-        "distinct_share": F.col("n_distinct_words") / words,
-        "upper_share": F.col("n_upper") / chars,
-    }
+#: What rules test, as (numerator, denominator): shares, so that they do not depend on a text's length, and the length itself.
+RATIOS = {
+    "words": ("n_words", None),
+    "word_length": ("word_chars", "n_words"),
+    "symbols_per_word": ("n_symbols", "n_words"),
+    "bars_per_word": ("n_bars", "n_words"),
+    "dup_line_share": ("n_dup_lines", "n_lines"),
+    "repeat_share": ("n_repeat_words", "n_words"),
+    "distinct_share": ("n_distinct_words", "n_words"),
+    "upper_share": ("n_upper", "word_chars"),
+}
+
+
+def ratio(name: str) -> Column:
+    over, under = RATIOS[name]
+    return F.col(over).cast("double") if under is None else F.col(over) / F.greatest(F.col(under), F.lit(1))
 
 
 def base_failed() -> Column:
@@ -137,7 +140,7 @@ class Condition:
         return row[self.name] > self.cut if self.above else row[self.name] <= self.cut
 
     def column(self) -> Column:
-        value = ratios()[self.name]
+        value = ratio(self.name)
         return value > self.cut if self.above else value <= self.cut
 
     def __str__(self) -> str:
@@ -211,10 +214,9 @@ def _prune(rule: tuple[Condition, ...], rows: list[dict]) -> tuple[Condition, ..
 
 
 def learn(rows: list[dict]) -> DecisionList:
-    """Sequential covering of the rows with ``bad`` set. Each row has the values of :func:`ratios` and ``grown``, true for the part that rules grow on."""
-    names = [n for n in ratios()] if rows else []
+    """Sequential covering of the rows with ``bad`` set. Each row has the values of :data:`RATIOS` and ``grown``, true for the part that rules grow on."""
     cuts = {}
-    for name in names:
+    for name in RATIOS if rows else []:
         values = sorted(r[name] for r in rows)
         picked = sorted({values[min(len(values) - 1, k * len(values) // CUTS)] for k in range(1, CUTS)})
         cuts[name] = [c for c in picked if c < values[-1]]
@@ -253,7 +255,7 @@ def fit(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = stats.where(~base_failed()).join(F.broadcast(chosen), "doc_id").select(
-        (F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3)) > 0).alias("grown"), *(c.alias(n) for n, c in ratios().items())
+        (F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3)) > 0).alias("grown"), *(ratio(n).alias(n) for n in RATIOS)
     )
     return learn([r.asDict() for r in rows.collect()])
 

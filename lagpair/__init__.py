@@ -1,0 +1 @@
+"""Longitudinal, paired-observation analytics as Spark plans."""

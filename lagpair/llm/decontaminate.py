@@ -234,6 +234,32 @@ def _searched(docs: DataFrame, rows: list[tuple[bytes, list[str]]], prefix: int)
     return text_rows(docs, "doc_id", "text").mapInArrow(lambda b: _hits(b, shipped.value), SCHEMA)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, prefix: int = PREFIX_WORDS, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """Rows of ``docs`` in which no window occurs; all columns stay."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    found = windows(benchmark, size)
+    total = found.count()
+    if total > max_broadcast:
+        bad = _in_rounds(docs, found, prefix, -(-total // max_broadcast)).where("contaminated").select("doc_id")
+        return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    rows = [(bytes(r["window"]), list(r["items"])) for r in found.collect()]
+    if not rows:
+        return docs
+    shipped = spark.sparkContext.broadcast(prefix_index(rows, prefix, shingle_frequencies(docs, shingles_of(rows, prefix))))
+    return docs.mapInArrow(lambda b: _clean(b, shipped.value), docs.schema)
+
+
+def _clean(batches: Iterator[pa.RecordBatch], index: list[dict]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = np.ones(batch.num_rows, dtype=bool)
+        for a, _, raw, offsets in K.chunks(batch.column("text")):
+            hashed, start, end, at = K.words(raw, offsets, K.ALNUM)
+            for row, _, _, _ in matches(index, K.LOWER[raw].tobytes(), hashed, start, end, at):
+                keep[a + row] = False
+        yield batch.filter(pa.array(keep))
+
+
 def _in_rounds(docs: DataFrame, found: DataFrame, prefix: int, rounds: int) -> DataFrame:
     """The same for a benchmark over the bound: windows are dealt to rounds by hash and the rounds' results are merged by document."""
     parts = None

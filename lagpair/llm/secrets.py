@@ -179,11 +179,14 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index("text")
-        texts = []
-        for value in batch.column(at):
-            text = value.as_py()
-            texts.append(redact(text) if text else text)
-        yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+        old = batch.column(at).to_pylist()
+        texts = [redact(t) if t else t for t in old]
+        batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+        n = batch.schema.get_field_index("n_chars")
+        if n >= 0 and pa.types.is_integer(batch.schema.field(n).type):
+            sizes = [len(t) if t != o else size for t, o, size in zip(texts, old, batch.column(n).to_pylist())]
+            batch = batch.set_column(n, batch.schema.field(n), pa.array(sizes, batch.schema.field(n).type))
+        yield batch
 
 
 def redact(text: str) -> str:

@@ -22,7 +22,7 @@ SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 4
 #: Code points with a class of their own lie under this.
 LIMIT = 0x2030
 #: Words that a process keeps, at most, before it starts anew.
-KEPT_WORDS = 3_000_000
+KEPT_WORDS = 1_500_000
 
 _MULT = 0xA24BAED4963EE407 | 1
 _INVERSE = pow(_MULT, -1, 1 << 64)
@@ -73,17 +73,17 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.recent: dict[int, int] = {}
-        self.starts, self.lengths, self.flat = [0], [], []
-        self.arrays = None
+        self.starts, self.lengths, self.flat = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
+        self.n_words = self.n_ids = 0
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _slots(self, hashes: np.ndarray, first: np.ndarray, last: np.ndarray, text: str) -> np.ndarray:
         """A slot for each distinct word; new words are encoded."""
-        if len(self.lengths) > KEPT_WORDS:
+        if self.n_words > KEPT_WORDS:
             self.forget()
         out = np.full(len(hashes), -1, np.int64)
         if len(self.keys):
@@ -93,7 +93,8 @@ class Encoder:
             out[same] = self.slots[place[same]]
         missing = np.flatnonzero(out < 0)
         get, tokenize, recent = self.recent.get, self.tokenizer.model.tokenize, self.recent
-        begun = len(self.lengths)
+        flat: list[int] = []
+        lengths: list[int] = []
         for k, h, a, b in zip(missing.tolist(), hashes[missing].tolist(), first[missing].tolist(), last[missing].tolist()):
             slot = get(h)
             if slot is None:
@@ -101,36 +102,31 @@ class Encoder:
                 if not self.spaced:
                     word = word.lower()
                 ids = [t.id for t in tokenize(word.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS))]
-                slot = recent[h] = len(self.lengths)
-                self.flat += ids
-                self.lengths.append(len(ids))
-                self.starts.append(len(self.flat))
+                slot = recent[h] = self.n_words + len(lengths)
+                flat += ids
+                lengths.append(len(ids))
             out[k] = slot
-        if len(self.lengths) > begun or self.arrays is None:
-            self._extend(begun)
-        if len(recent) > 200_000:
+        if lengths:
+            self._keep(np.array(lengths, np.int32), np.array(flat, np.uint32))
+        if len(recent) > 100_000:
             keys = np.concatenate([self.keys, np.fromiter(recent.keys(), np.uint64, len(recent))])
-            slots = np.concatenate([self.slots, np.fromiter(recent.values(), np.int64, len(recent))])
+            slots = np.concatenate([self.slots, np.fromiter(recent.values(), np.int32, len(recent))])
             order = np.argsort(keys, kind="stable")
             self.keys, self.slots = keys[order], slots[order]
             recent.clear()
         return out
 
-    def _extend(self, begun: int) -> None:
-        """Appends the new words' ids to arrays that double when they are full."""
-        n, m = len(self.lengths), self.starts[-1]
-        if self.arrays is None:
-            self.arrays = [np.zeros(max(1 << 16, n), np.int64), np.zeros(max(1 << 16, n), np.int64), np.zeros(max(1 << 18, m), np.uint32), 0]
-            begun = 0
-        starts, lengths, flat, filled = self.arrays
-        if n > len(starts):
-            starts, lengths = (np.concatenate([x, np.zeros(max(n, len(x)), np.int64)]) for x in (starts, lengths))
-        if m > len(flat):
-            flat = np.concatenate([flat, np.zeros(max(m, len(flat)), np.uint32)])
-        starts[begun:n] = self.starts[begun:n]
-        lengths[begun:n] = self.lengths[begun:n]
-        flat[filled:m] = self.flat[filled:m]
-        self.arrays = [starts, lengths, flat, m]
+    def _keep(self, lengths: np.ndarray, flat: np.ndarray) -> None:
+        """Appends new words' ids to arrays that grow by half when they are full."""
+        n, m = self.n_words + len(lengths), self.n_ids + len(flat)
+        if n > len(self.lengths):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros(max(n - len(x), len(x) // 2), x.dtype)]) for x in (self.starts, self.lengths))
+        if m > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(m - len(self.flat), len(self.flat) // 2), np.uint32)])
+        self.lengths[self.n_words : n] = lengths
+        self.starts[self.n_words : n] = self.n_ids + np.cumsum(lengths) - lengths
+        self.flat[self.n_ids : m] = flat
+        self.n_words, self.n_ids = n, m
 
     def chunk(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one after the other, and their offsets."""
@@ -167,9 +163,8 @@ class Encoder:
             row_of = np.searchsorted(first, at)
         distinct, at_first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         slots = self._slots(distinct, first[at_first], last[at_first], text)[inverse]
-        starts, lengths, flat, _ = self.arrays
-        sizes = lengths[slots]
-        ids = flat[K.ragged(starts[slots], sizes)]
+        sizes = self.lengths[slots].astype(np.int64)
+        ids = self.flat[K.ragged(self.starts[slots].astype(np.int64), sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         bounds = ends[row_of]
         if not len(odd):

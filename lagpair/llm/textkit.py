@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one kernel call handles; the temporaries are some twenty times as large.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Shingle hashes keep so many low bits, which leaves the high ones for a row number.
 HASH_BITS = 52
 HASH_MASK = np.uint64((1 << HASH_BITS) - 1)

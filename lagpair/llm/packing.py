@@ -3,9 +3,9 @@
 Documents become pieces of at most ``capacity`` ids. How the pieces fill
 sequences is planned over counts: lengths are taken in descending order, and all
 pieces of one length go, run by run, to the open sequences whose free space fits
-them most closely, and then to new ones. The plan is a list of slots (length,
-ranks from, ranks to, first sequence, offset). It depends on at most
-``capacity`` lengths, never on documents, and is planned on the driver.
+them most closely, and then to new ones. The plan is a list of slots for ranges of
+ranks of a length. It depends on at most ``capacity`` lengths, never on
+documents, is bounded in size, and is planned on the driver.
 Documents then take their slots by their rank within their length.
 
 Ranks are counted in two steps, so that a length that a third of all pieces have
@@ -69,14 +69,25 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = False, c
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
-    """Slots as rows (length, first rank, end rank, first sequence, offset): the k-th piece of a slot goes to its k-th sequence.
-
-    Open sequences are kept as runs of consecutive numbers by their free space. Each step uses up a run or a length, so
-    the rows are bounded by the lengths and the capacity.
+    """Slots as rows (length, first rank, end rank, first sequence, offset, copies): the k-th piece of a slot goes to
+    sequence ``first + k // copies``, at ``offset + k % copies * length``.
+
+    Open sequences are kept as runs of consecutive numbers by their free space. After the tightest sequence has taken a
+    piece it is the tightest still, so best fit fills it with as many pieces of the length as fit before the next: these are
+    its copies. A length opens one run and splits two at most, so there are three runs a length at most. What a run has free
+    after its turn is less than half of what it had, so a run has log2(capacity) turns at most. The plan therefore has no
+    more than 3 * capacity * log2(capacity) rows of 48 bytes (7 MB for 4096), however many documents there are.
     """
     free: dict[int, list[tuple[int, int]]] = {}
-    rows, opened = [], 0
     spaces = np.zeros(capacity + 1, dtype=bool)
+    rows: list[tuple[int, ...]] = []
+    opened = 0
+
+    def release(space: int, first: int, count: int) -> None:
+        if space and count:
+            free.setdefault(space, []).append((first, count))
+            spaces[space] = True
+
     for length in sorted(histogram, reverse=True):
         left, rank = histogram[length], 0
         while left:
@@ -84,23 +95,23 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
             if len(fitting):
                 space = int(fitting[0]) + length
                 first, count = free[space].pop()
-                if not free[space]:
-                    spaces[space] = False
+                spaces[space] = bool(free[space])
             else:
                 space, first = capacity, opened
                 count = -(-left // (capacity // length))
                 opened += count
-            used = min(left, count)
-            if used < count:
-                free.setdefault(space, []).append((first + used, count - used))
-                spaces[space] = space > 0
-            rows.append((length, rank, rank + used, first, capacity - space))
-            if space > length:
-                free.setdefault(space - length, []).append((first, used))
-                spaces[space - length] = True
-            rank += used
-            left -= used
-    return np.array(rows, dtype=np.int64).reshape(-1, 5)
+            copies = space // length
+            filled = min(count, left // copies)
+            if filled:
+                rows.append((length, rank, rank + filled * copies, first, capacity - space, copies))
+                release(space - copies * length, first, filled)
+                rank, left = rank + filled * copies, left - filled * copies
+            if filled < count and left:  # fewer pieces are left than the next sequence could take
+                rows.append((length, rank, rank + left, first + filled, capacity - space, copies))
+                release(space - left * length, first + filled, 1)
+                filled, left = filled + 1, 0
+            release(space, first + filled, count - filled)
+    return np.array(rows, dtype=np.int64).reshape(-1, 6)
 
 
 def ranked(cut: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -124,7 +135,7 @@ def _placed(batches: Iterator[pa.RecordBatch], slots: np.ndarray) -> Iterator[pa
         if len(slot) and not ((slot[:, 0] == length) & (slot[:, 1] <= rank) & (rank < slot[:, 2])).all():
             raise ValueError("a piece has no slot in the plan")
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(slot[:, 3] + rank - slot[:, 1]), pa.array(slot[:, 4])],
+            [*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(slot[:, 3] + (rank - slot[:, 1]) // slot[:, 5]), pa.array(slot[:, 4] + (rank - slot[:, 1]) % slot[:, 5] * length)],
             names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
         )
 

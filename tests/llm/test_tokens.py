@@ -82,9 +82,9 @@ def test_plan_fills_like_best_fit_decreasing():
             histogram[n] += 1
         rows = packing.plan(dict(histogram), capacity)
         used = defaultdict(list)
-        for length, lo, hi, first, offset in rows.tolist():
+        for length, lo, hi, first, offset, copies in rows.tolist():
             for k in range(hi - lo):
-                used[first + k].append((offset, length))
+                used[first + k // copies].append((offset + k % copies * length, length))
         for spans in used.values():
             at = 0
             for offset, length in sorted(spans):

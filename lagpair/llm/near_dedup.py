@@ -17,7 +17,8 @@
    lies beyond with a probability of about 1e-7), never the pairs themselves.
    Its components are the candidate groups.
 4. Candidate groups get their texts; links are decided on full shingle sets,
-   for all pairs of a group (groups over ``GROUP`` in pairs of blocks), and a
+   for all pairs of a group (groups over ``GROUP`` documents or
+   ``GROUP_SHINGLES`` shingles in pairs of blocks), and a
    spanning forest of the links is emitted. Its components are the result.
 
 Edge cases: a text of fewer words than a shingle, but not none, has its whole
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagpair.llm import textkit as K
@@ -46,6 +47,8 @@ CHUNKS, WIDTH, ERRORS = 10, 4, 1
 MOST_DIFFERENT = 30
 #: Rows of a bucket, and documents of a candidate group, that one comparison holds.
 BLOCK, GROUP = 2048, 1024
+#: Shingles of a candidate group that one comparison holds.
+GROUP_SHINGLES = 4_000_000
 #: Bits of the set matrix that a group's comparison holds at a time.
 SLICE_BITS = 1 << 29
 
@@ -183,17 +186,21 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
 
-def dealt(rows: DataFrame, count: str, block: int, spread: str) -> DataFrame:
-    """Rows of a group of ``count`` rows over ``block`` are dealt to blocks and go to each pair of blocks (p, q) that has theirs."""
-    blocks = F.ceil(F.col(count) / F.lit(block // 2)).cast("int")
-    many = F.col(count) > block
-    own = F.pmod(F.xxhash64(spread), blocks).cast("int")
-    whole = rows.where(~many).select("*", F.lit(0).alias("p"), F.lit(0).alias("q"))
-    split = rows.where(many).select("*", own.alias("_own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
+def dealt(rows: DataFrame, blocks: Column, spread: str) -> DataFrame:
+    """Rows of a group of several ``blocks`` are dealt to them and go to each pair of blocks (p, q) that has theirs; others stay together."""
+    keyed = rows.withColumn("_blocks", blocks.cast("int"))
+    own = F.pmod(F.xxhash64(spread), F.col("_blocks")).cast("int")
+    whole = keyed.where("_blocks = 1").select(*rows.columns, F.lit(0).alias("p"), F.lit(0).alias("q"))
+    split = keyed.where("_blocks > 1").select(*rows.columns, own.alias("_own"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
     pairs = split.select(*rows.columns, F.least("_own", "_other").alias("p"), F.greatest("_own", "_other").alias("q"))
     return whole.unionByName(pairs)
 
 
+def blocks_of(size: Column, most: int) -> Column:
+    """One block up to ``most``, beyond it as many as halves of that are needed: a pair of blocks then holds about ``most``."""
+    return F.when(size <= most, 1).otherwise(F.ceil(size / F.lit(most / 2)))
+
+
 def candidate_groups(classes: DataFrame) -> DataFrame:
     """(node, root) of the classes that may have a link; ``classes`` has node, n_shingles, signature."""
     small_batches(classes.sparkSession)
@@ -202,7 +209,7 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     shared = stored(shared, "shared-keys")
     members = keyed.join(shared, "key")
     signed = members.join(classes.select("node", "n_shingles", "signature"), "node").select("key", "copies", "node", "n_shingles", "signature")
-    units = dealt(signed, "copies", BLOCK, "node").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
+    units = dealt(signed, blocks_of(F.col("copies"), BLOCK), "node").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
     out = components(units.select("key", "p", "q", "node", "n_shingles", "signature").mapInArrow(_forest, "a long, b long"))
     discard(shared)
     return out
@@ -255,11 +262,15 @@ def _confirmed(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) ->
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in edges], pa.int64()), pa.array([y for _, y in edges], pa.int64())], names=["a", "b"])
 
 
-def confirmed_links(docs: DataFrame, groups: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """A spanning forest (a, b) of the links within candidate groups, decided on the full sets of the nodes' texts."""
-    every = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    sizes = stored(groups.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("members")), "group-sizes")
-    placed = dealt(every.join(sizes, "root"), "members", GROUP, "node").select("node", "root", "p", "q")
+def confirmed_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """A spanning forest (a, b) of the links within candidate groups, decided on the full sets of the nodes' texts.
+
+    Groups with too many documents, or too many shingles in all, are dealt to blocks.
+    """
+    every = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).join(classes.select("node", "n_shingles"), "node")
+    sizes = stored(every.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("weight")), "group-sizes")
+    blocks = F.greatest(blocks_of(F.col("members"), GROUP), blocks_of(F.col("weight"), GROUP_SHINGLES))
+    placed = dealt(every.select("node", "root").join(sizes, "root"), blocks, "node").select("node", "root", "p", "q")
     texts = text_rows(docs, "doc_id", "text").withColumnRenamed("doc_id", "node").join(placed, "node")
     units = texts.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", "node")
     return units.select("root", "p", "q", "node", "text").mapInArrow(lambda b: _confirmed(b, shingle, percent), "a long, b long")
@@ -274,7 +285,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     rep = least.select("fp1", "fp2", F.col("node").alias("doc_id"))
     classes = stored(linkable.join(rep, ["fp1", "fp2", "doc_id"]).dropDuplicates(["fp1", "fp2", "doc_id"]).select(F.col("doc_id").alias("node"), "n_shingles", "signature"), "classes")
     groups = candidate_groups(classes)
-    edges = confirmed_links(docs, groups, shingle, percent)
+    edges = confirmed_links(docs, classes, groups, shingle, percent)
     member = stored(linkable.select("doc_id", "fp1", "fp2").join(stored(least, "class-ids"), ["fp1", "fp2"]).select("doc_id", "fp1", "fp2", "node"), "members")
     repeated = stored(linkable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
     edges = edges.unionByName(member.join(repeated, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))

@@ -32,8 +32,9 @@ from lagpair.llm import bpe
 from lagpair.llm.common import small_batches, stored, text_rows
 
 CAPACITY = 4096
-#: Hash ranges in which ranks are counted; a length's pieces are dealt over so many tasks.
+#: Ranks are counted in so many hash ranges at least, and in more for a length of more pieces than this many times so many.
 BUCKETS = 64
+BUCKET_PIECES = 500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -145,4 +146,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = False, cap
     cut = stored(pieces(docs, tokenizer, end_id, spaced, capacity), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     shipped = cut.sparkSession.sparkContext.broadcast(plan(histogram, capacity))
-    return ranked(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(lambda b: _placed(b, shipped.value), PIECES + ", sequence_id long, offset long")
+    buckets = max(BUCKETS, -(-max(histogram.values(), default=0) // BUCKET_PIECES))
+    return ranked(cut, buckets).select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(lambda b: _placed(b, shipped.value), PIECES + ", sequence_id long, offset long")

@@ -4,7 +4,7 @@ Payload bytes are stored once, under their SHA-256, in one table; exact record
 headers stand in another. Records are reconstructed by joining the two on the
 digest, and every payload is verified against its digest on the way.
 
-All of it is DataFrame expressions. A page whose payload occurs more often is a
+All but the export to .warc.gz files is DataFrame expressions. A page whose payload occurs more often is a
 ``revisit`` of the page with the largest id among the equal ones; payloads under
 ``min_revisit_bytes`` are never revisited.
 
@@ -17,10 +17,16 @@ are ignored.
 
 from __future__ import annotations
 
+import gzip
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagpair.llm.common import remove, work_path
+from lagpair.llm.common import remove, small_batches, work_path
 
 # Digits of conv() in base 32, and the base32 alphabet of RFC 4648.
 CONV_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -155,5 +161,29 @@ def archived(pages: DataFrame, path: str | None = None, min_revisit_bytes: int =
     return parse_records(read_records(spark, path))
 
 
+def _exported(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    store, base = pafs.FileSystem.from_uri(folder)
+    path, n = f"{base}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.warc.gz", 0
+    with store.open_output_stream(path, compression=None) as out:
+        for batch in batches:
+            for record in batch.column("record"):
+                out.write(gzip.compress(record.as_py(), 6))  # a member for each record, as the format asks for
+                n += 1
+    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "n_records"])
+
+
+def export_files(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """Writes the archive's records as .warc.gz files of ``folder`` (a URI of a shared store); returns (path, n_records) of
+    the tasks that succeeded, files of failed ones being no part of it."""
+    store, base = pafs.FileSystem.from_uri(folder)
+    store.create_dir(f"{base}/files", recursive=True)
+    small_batches(spark)
+    target = f"{folder}/files"
+    read_records(spark, path).select("record").mapInArrow(lambda b: _exported(b, target), "path string, n_records long").write.parquet(f"{folder}/manifest")
+    return spark.read.parquet(f"{folder}/manifest")
+
+
 def delete_archive(spark: SparkSession, path: str) -> None:
     remove(spark, path)

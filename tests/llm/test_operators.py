@@ -71,9 +71,10 @@ def test_near_duplicates_against_brute_force(spark, documents, seed):
     assert got == brute_components(rows, 4)
 
 
-def test_near_duplicates_in_blocks(spark, documents, monkeypatch):
+@pytest.mark.parametrize("by,most", [("GROUP", 6), ("GROUP_SHINGLES", 900)])
+def test_near_duplicates_in_blocks(spark, documents, monkeypatch, by, most):
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
-    monkeypatch.setattr(near_dedup, "GROUP", 6)
+    monkeypatch.setattr(near_dedup, by, most)
     rng = random.Random(7)
     base = [f"b{k}" for k in range(100)]
     rows = [(k, edited(rng, base, rng.randrange(0, 9))) for k in range(70)]
@@ -168,6 +169,17 @@ def test_archive_round_trip(spark):
     assert warc.archived(df.limit(0)).count() == 0
 
 
+def test_export_to_files(spark):
+    import gzip
+
+    path, folder = warc.work_path(spark, "exp-warc"), warc.work_path(spark, "exp-files")
+    warc.write_archive(spark.createDataFrame([(1, "u", "abc"), (2, "u", "abc"), (3, "v", "d")], "page_id long, url string, html string"), path)
+    files = warc.export_files(spark, path, folder).collect()
+    assert sum(r["n_records"] for r in files) == 3
+    raw = b"".join(gzip.open(r["path"]).read() for r in files)
+    assert raw.count(b"WARC/1.1\r\n") == 3 and raw.count(b"abc\r\n\r\n") == 1 and raw.count(b"WARC-Type: revisit") == 1
+
+
 def test_archive_rejects_damaged_payloads(spark):
     path = warc.work_path(spark, "bad-warc")
     warc.write_archive(spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string"), path)

@@ -106,6 +106,8 @@ ORACLES: dict[str, str] = {
     "delta_raw": delta("x1[i + 1]::double - x0[i + 1]::double", 64),
     "delta_mean": delta(MEANS, TOKEN_DIM),
     "extract_delta_embeddings": delta(f"case when label = 1 then -({MEANS}) else {MEANS} end", TOKEN_DIM, ", label"),
+    "repeat_group_ids": "select vec_id // 4 as \"group\", 16::bigint as n from embeddings where vec_id % 4 = 0",
+    "subset_by_index": f"with {EX} select vec_id from embeddings where vec_id in (select i0 from ex)",
     "linear_head_logits": f"with {Z} select vec_id, {r6('z0')} as z0, {r6('z1')} as z1 from z",
     "softmax_prob": f"with {L} select vec_id, {r6('p1')} as p1 from l",
     "argmax_pred": f"with {L} select vec_id, pred from l",
@@ -122,6 +124,7 @@ ORACLES: dict[str, str] = {
     "channel_mean_importance": f"with {IMPORTANCE} select ch, t0, t1 from imp",
     "channel_rank": f"with {IMPORTANCE} select ch, {r6('t0 + t1')} as total, {RANK} from imp",
     "channel_importance_ranking": f"with {SMOOTHED} select ch, t0, t1, {r6('t0 + t1')} as total, {RANK} from imp",
+    "bar_layout": f"with {IMPORTANCE}, r as (select *, {RANK} from imp) select ch, {r6('rank - 1 - 0.175')} as x0, {r6('rank - 1 + 0.175')} as x1, t0, t1 from r",
     "saliency_flip": f"with {IMPORTANCE} select ch, case when length(ch) % 2 = 1 then t1 else t0 end as cam_0, case when length(ch) % 2 = 1 then t0 else t1 end as cam_1 from imp",
     "trace_layout": f"with {S}, p as (select ch, row_number() over (order by ch) - 1 as pos from (select distinct ch from s)), q as (select ch, t, (v - avg(v) over (partition by ch)) / (stddev_pop(v) over (partition by ch) + 1e-8) as v from s) select ch, t, {r6('v + 6.0 * pos')} as y, {r6('6.0 * pos - 2.5')} as y_lo, {r6('6.0 * pos + 2.5')} as y_hi from q join p using (ch)",
 }

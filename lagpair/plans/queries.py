@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagpair.functions import sessions, vectors
-from lagpair.operators import attention, folds, metrics, pairs, sampling, signals
+from lagpair.operators import attention, folds, metrics, pairs, sampling, signals, training
 from lagpair.plans import bindings as B
 from lagpair.plans.bindings import table
 
@@ -242,6 +242,37 @@ def delta_attentive(spark, sf_dir):
     return long_delta(B.vector_pairs(spark, sf_dir), vectors.delta(model.pooled(F.col("x0")), model.pooled(F.col("x1"))))
 
 
+@query
+def repeat_group_ids(spark, sf_dir):
+    groups = sampling.group_ids(B.embeddings(spark, sf_dir).select(F.col("dataset_idx").alias("pos"))).where("pos % 4 = 0")
+    return sampling.repeat_ids(groups).groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def subset_by_index(spark, sf_dir):
+    drawn = B.event_examples(spark, sf_dir).select(F.col("i0").alias("dataset_idx")).distinct()
+    return B.embeddings(spark, sf_dir).join(drawn, "dataset_idx", "left_semi").select(F.col("dataset_idx").alias("vec_id"))
+
+
+@query
+def project_deltas(spark, sf_dir):
+    rows = B.vector_pairs(spark, sf_dir).select("id", "before", "after", "label", vectors.delta(F.col("x0"), F.col("x1")).alias("x"))
+    return shown(training.project(rows), "label", "p0", "p1")
+
+
+@query
+def train_linear_head(spark, sf_dir):
+    """Learns the order of visits from swapped deltas of the training folds and scores the test fold."""
+    rows = B.vector_pairs(spark, sf_dir)
+    flipped = F.col("label") == 1
+    x = F.transform(vectors.delta(F.col("x0"), F.col("x1")), lambda v: F.when(flipped, -v).otherwise(v))
+    data = rows.select("id", "label", x.alias("x")).join(folds.fold_map(B.event_pairs(spark, sf_dir), B.FOLDS, B.SEED), "id")
+    train, test = folds.split(data, B.TEST_FOLD)
+    scored = training.apply_head(training.fit_head(train), test)
+    auc = metrics.auroc(scored, "p1", "label").select("auc")
+    return scored.agg(F.count(F.lit(1)).alias("n"), metrics.accuracy("pred", "label").alias("acc")).crossJoin(F.broadcast(auc))
+
+
 # head and metrics
 
 
@@ -350,6 +381,12 @@ def channel_importance_ranking(spark, sf_dir):
     return ranked.select("ch", "t0", "t1", r6(F.col("total")).alias("total"), "rank")
 
 
+@query
+def bar_layout(spark, sf_dir):
+    ranked = signals.channel_ranking(rounded_importance(B.halves(spark, sf_dir)))
+    return signals.bar_layout(ranked).select("ch", r6(F.col("x0")).alias("x0"), r6(F.col("x1")).alias("x1"), "t0", "t1")
+
+
 @query
 def saliency_flip(spark, sf_dir):
     both = signals.channel_importance(B.halves(spark, sf_dir)).select("ch", F.col("t0").alias("first"), F.col("t1").alias("second"))

@@ -112,6 +112,16 @@ def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray = SPACED) ->
     return hashed, start, end, np.searchsorted(start, offsets)
 
 
+def word_counts(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray = SPACED) -> np.ndarray:
+    """Number of words of each row."""
+    body = inside[raw]
+    edge = np.zeros(len(raw) + 1, dtype=bool)
+    edge[offsets] = True
+    body[1:] &= ~inside[raw[:-1]] | edge[1:-1]
+    before = np.concatenate([[0], np.cumsum(body)])[offsets]
+    return np.diff(before)
+
+
 def windows(hashed: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``size`` words that stay in a row, and the index of each run's first word."""
     n = len(hashed) - size + 1

@@ -10,7 +10,7 @@ batches by one of their sums and remembers their ids.
 
 A batch's files are written to a folder of its own and become part of the store
 by the commit marker that Spark's committer writes last; a writer that dies
-before it leaves a folder that the next try replaces.
+before it leaves a folder that the next try replaces. One writer commits at a time.
 
 Edge cases: null sources, languages and texts are groups and empty texts. Totals
 that come to nothing (no documents, no tokens) are not returned. Repeated rows
@@ -19,22 +19,56 @@ each count. Columns other than those named are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagpair.llm.common import work_path
+from lagpair.llm import bpe
+from lagpair.llm import textkit as K
+from lagpair.llm.common import small_batches, stored, text_rows, work_path
 
 KEYS = ("source", "lang", "tokenizer")
 #: Changes: op is insert, delete or revise; old_tokens is used by revisions alone.
 CHANGES = "source string, lang string, tokenizer string, op string, tokens long, old_tokens long"
 TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
-# What a word is in each of the tokenizer versions that SQL can count.
-PATTERNS = {"words@1": r"[^\x20\x09-\x0D]+", "alnum@1": r"[0-9A-Za-z\u0080-\x{10FFFF}]+"}
+@dataclass(frozen=True)
+class Bpe:
+    """A tokenizer of the tokenizers library, by its file; ``spaced`` as :class:`lagpair.llm.bpe.Encoder` has it."""
+
+    path: str
+    spaced: bool
+
+
+#: Tokenizer versions that SQL can count too: what bytes a word is made of.
+TOKENIZERS: dict[str, np.ndarray | Bpe] = {"words@1": K.SPACED, "alnum@1": K.ALNUM}
+
+
+def _counts(batches: Iterator[pa.RecordBatch], tokenizers: dict) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = [batch.column("source"), batch.column("lang")]
+        for kind in tokenizers.values():
+            n = np.zeros(batch.num_rows, np.int64)
+            if isinstance(kind, Bpe):
+                for a, b, _, bounds in bpe.encoded(batch.column("text"), kind.path, kind.spaced):
+                    n[a:b] = np.diff(bounds)
+            else:
+                for a, b, raw, offsets in K.chunks(batch.column("text")):
+                    n[a:b] = K.word_counts(raw, offsets, kind)
+            columns.append(pa.array(n))
+        yield pa.RecordBatch.from_arrays(columns, names=["source", "lang", *tokenizers])
 
 
-def count_words(text: Column, tokenizer: str) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(PATTERNS[tokenizer])).cast("long")
+def counted(docs: DataFrame, tokenizers: dict | None = None) -> DataFrame:
+    """source, lang and each text's number of tokens in every tokenizer version; one pass over the texts."""
+    tokenizers = TOKENIZERS if tokenizers is None else tokenizers
+    small_batches(docs.sparkSession)
+    schema = ", ".join(["source string", "lang string", *(f"`{t}` long" for t in tokenizers)])
+    return text_rows(docs, "source", "lang", "text").mapInArrow(lambda b: _counts(b, tokenizers), schema)
 
 
 def changes(rows: DataFrame, op: str, tokenizer: str, tokens: Column, old_tokens: Column | None = None) -> DataFrame:
@@ -112,13 +146,13 @@ def rollup(docs: DataFrame, store: RollupStore) -> DataFrame:
     """Loads a table of documents as a pipeline would: texts are inserted with the count of the first tokenizer; the second
     tokenizer's counts are entered provisionally and then revised; documents without a word are deleted. One batch is sent
     twice. The totals are those of the documents that have words."""
-    counted = docs.select("source", "lang", *(count_words(F.col("text"), t).alias(t) for t in PATTERNS))
-    first, second = (F.col(f"`{t}`") for t in PATTERNS)
-    a, b = PATTERNS
-    store.commit("load", changes(counted, "insert", a, first).unionByName(changes(counted, "insert", b, first)))
-    store.commit("revise", changes(counted, "revise", b, second, first))
-    store.commit("revise", changes(counted, "revise", b, second, first))
-    empty = counted.where(first == 0)
+    rows = stored(counted(docs), "token-counts")
+    first, second = (F.col(f"`{t}`") for t in TOKENIZERS)
+    a, b = TOKENIZERS
+    store.commit("load", changes(rows, "insert", a, first).unionByName(changes(rows, "insert", b, first)))
+    store.commit("revise", changes(rows, "revise", b, second, first))
+    store.commit("revise", changes(rows, "revise", b, second, first))
+    empty = rows.where(first == 0)
     store.commit("empty", changes(empty, "delete", a, first).unionByName(changes(empty, "delete", b, second)))
     store.compact()
     return store.totals()

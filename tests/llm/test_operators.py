@@ -143,6 +143,18 @@ def test_rollups_follow_signed_batches(spark):
         store.commit("../x", first)
 
 
+def test_counts_of_each_tokenizer(spark, documents):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [None, "", " a  b\n", "x-y z9", "é日 ü", "\x1f\x0b", "it's"]
+    out = token_counts.counted(documents(list(enumerate(texts)), extra=True), {**token_counts.TOKENIZERS, "bpe@1": token_counts.Bpe(path, True)})
+    tokenizer = Tokenizer.from_file(path)
+    want = [(len(re.findall("[^\x20\x09-\x0d]+", t or "")), len(re.findall("[0-9A-Za-z\x80-\U0010ffff]+", t or "")), len(tokenizer.encode(t or "").ids)) for t in texts]
+    assert sorted(tuple(r)[2:] for r in out.collect()) == sorted(want)
+
+
 # WARC
 
 

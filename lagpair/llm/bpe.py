@@ -22,7 +22,7 @@ SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 4
 #: Code points with a class of their own lie under this.
 LIMIT = 0x2030
 #: Words that a process keeps, at most, before it starts anew.
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 800_000
 
 _MULT = 0xA24BAED4963EE407 | 1
 _INVERSE = pow(_MULT, -1, 1 << 64)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes and rows of the Arrow batches that Python operators get.
-ARROW_BYTES = "16m"
+ARROW_BYTES = "4m"
 ARROW_ROWS = "4096"
 
 

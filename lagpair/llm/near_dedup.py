@@ -14,7 +14,7 @@
 3. Classes that share a key are compared by their whole signatures, bucket by
    bucket; buckets over ``BLOCK`` rows in pairs of blocks. A bucket gives a
    spanning forest of the pairs within ``MOST_DIFFERENT`` (a similarity of 0.8
-   lies beyond with a probability of about 1e-7), never the pairs themselves.
+   lies beyond with a probability of about 3e-7), never the pairs themselves.
    Its components are the candidate groups.
 4. Candidate groups get their texts; links are decided on full shingle sets,
    for all pairs of a group (groups over ``GROUP`` documents or

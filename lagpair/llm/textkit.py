@@ -8,6 +8,7 @@ hashed by one subtraction and one multiplication.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Iterator
@@ -89,6 +90,17 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES, rows: int = 2048) -> Iter
         end = min(max(end, at + 1), at + rows, n)
         yield at, end, raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
+    release()
+
+
+def release() -> None:
+    """Gives memory that earlier batches have freed back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    kept = cache()
+    if "trim" not in kept:
+        kept["trim"] = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if kept["trim"] is not None:
+        kept["trim"](0)
 
 
 def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

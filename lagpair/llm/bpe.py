@@ -4,11 +4,13 @@ The BPE models of the tokenizers library work word by word. A batch is cut into
 words by array operations on its code points, exactly as the tokenizer's own
 pattern would cut it; words are told apart by a 64-bit hash, and only those that
 a process has not met yet go through the library's model. A text with a code
-point outside the tables below goes through the library as a whole.
+point outside the tables below goes through the library as a whole, and so does
+one that holds an added token (``<|endoftext|>``) where these are told apart.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,12 +66,17 @@ class Encoder:
 
     ``spaced``: words keep one blank before them and white space is words too (byte-level BPE).
     Otherwise texts are lower-cased, white space is dropped and each digit is a word.
+    ``added``: the content of an added token is its id, as the library has it by default; otherwise it is text like any other.
     """
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, added: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
         self.spaced = spaced
+        tokens = self.tokenizer.get_added_tokens_decoder().values() if added else []
+        if any(t.normalized for t in tokens):
+            raise ValueError("added tokens are sought in texts as they are, not in normalized ones")
+        self.marks = [t.content for t in tokens]
         self.forget()
 
     def forget(self) -> None:
@@ -81,6 +88,11 @@ class Encoder:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _marked(self, text: str, at: np.ndarray) -> np.ndarray:
+        """Rows of the chunk that hold the content of an added token."""
+        found = [m.start() for mark in self.marks if mark in text for m in re.finditer(re.escape(mark), text)]
+        return np.unique(np.searchsorted(at, found, side="right") - 1).astype(np.int64)
+
     def _slots(self, hashes: np.ndarray, first: np.ndarray, last: np.ndarray, text: str) -> np.ndarray:
         """A slot for each distinct word; new words are encoded."""
         if self.n_words > KEPT_WORDS:
@@ -154,6 +166,7 @@ class Encoder:
         hashes = (sums[last] - sums[first]) * K.power_table(_INVERSE, len(cps))[first]
         hashes = K.mix(hashes + (last - first).astype(np.uint64))
         odd = np.flatnonzero(np.add.reduceat(kind == UNKNOWN, np.minimum(at[:-1], len(cps) - 1)) * (at[1:] > at[:-1])) if (kind == UNKNOWN).any() else []
+        odd = np.union1d(odd, self._marked(text, at)).astype(np.int64)
         row_of = np.searchsorted(first, at)
         if len(odd):
             drop = np.zeros(len(first), dtype=bool)
@@ -216,17 +229,18 @@ class Encoder:
             start[more[more < n]] = True
 
 
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str, spaced: bool, added: bool = False) -> Encoder:
     """The process's encoder for a tokenizer file; it keeps the words it has met from task to task."""
-    kept = K.cache().get(f"encoder {path}")
+    key = f"encoder {path} {added}"
+    kept = K.cache().get(key)
     if kept is None:
-        kept = K.cache()[f"encoder {path}"] = Encoder(path, spaced)
+        kept = K.cache()[key] = Encoder(path, spaced, added)
     return kept
 
 
-def encoded(column: pa.Array, path: str, spaced: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def encoded(column: pa.Array, path: str, spaced: bool, added: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of a column: first row, end row, ids, offsets of the rows' ids."""
-    model = encoder(path, spaced)
+    model = encoder(path, spaced, added)
     for a, b, raw, offsets in K.chunks(column):
         ids, bounds = model.chunk(raw, offsets)
         yield a, b, ids, bounds

@@ -42,7 +42,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def _cut(batches: Iterator[pa.RecordBatch], tokenizer: str, spaced: bool, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc_ids = batch.column("doc_id").cast(pa.int64())
-        for a, b, ids, bounds in bpe.encoded(batch.column("text"), tokenizer, spaced):
+        for a, b, ids, bounds in bpe.encoded(batch.column("text"), tokenizer, spaced, added=True):
             row, piece, start, length, crc = [], [], [], [], []
             end = np.array([end_id], dtype="<u4").tobytes()
             raw = memoryview(ids.astype("<u4").tobytes())

@@ -54,7 +54,7 @@ def _counts(batches: Iterator[pa.RecordBatch], tokenizers: dict) -> Iterator[pa.
         for kind in tokenizers.values():
             n = np.zeros(batch.num_rows, np.int64)
             if isinstance(kind, Bpe):
-                for a, b, _, bounds in bpe.encoded(batch.column("text"), kind.path, kind.spaced):
+                for a, b, _, bounds in bpe.encoded(batch.column("text"), kind.path, kind.spaced, added=True):
                     n[a:b] = np.diff(bounds)
             else:
                 for a, b, raw, offsets in K.chunks(batch.column("text")):

@@ -233,7 +233,7 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, spa
         doc_ids = batch.column("doc_id")
         known = doc_ids.is_valid().to_numpy(zero_copy_only=False)
         numbers = doc_ids.cast(pa.int64()).fill_null(0).to_numpy()
-        for a, b, ids, bounds in bpe.encoded(batch.column("text"), tokenizer, spaced):
+        for a, b, ids, bounds in bpe.encoded(batch.column("text"), tokenizer, spaced, added=True):
             counts = np.diff(bounds) + 1
             with_end = np.full(len(ids) + b - a, end_id, np.uint32)
             keep = np.ones(len(with_end), dtype=bool)

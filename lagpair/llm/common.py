@@ -38,6 +38,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: The row number that :func:`numbered` adds.
+ROW = "lagpair_row"
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` stored with a number of its own for every row; the numbers are written, so every later read has the same."""
+    return stored(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of :func:`stored` that no later result reads."""
     for df in tables:

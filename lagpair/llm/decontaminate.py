@@ -12,9 +12,9 @@ then compared, by its hash and byte by byte.
 
 The index of the benchmark's prefix tokens is broadcast while it has at most
 ``max_broadcast`` windows; a larger one is dealt into that many windows a
-round, documents passing it round by round, so no task ever holds more.
-
-Beyond the bound, rows that repeat a doc_id are merged into one.
+round, documents passing it round by round, so no task ever holds more. Rows
+are numbered and written before the rounds, whose results are merged by that
+number: each row is judged by itself however large the benchmark is.
 
 Edge cases: a null or empty text, or one without a word, has no words and is
 never hit. An item that repeats (equal text) is an item of its own; rows that
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagpair.llm import textkit as K
-from lagpair.llm.common import small_batches, text_rows
+from lagpair.llm.common import ROW, numbered, small_batches, text_rows
 
 WINDOW_WORDS = 10
 PREFIX_WORDS = 3
@@ -176,7 +176,7 @@ def matches(index: list[dict], low: bytes, hashed: np.ndarray, start: np.ndarray
                 yield int(row[i]), w, n, part["items"][window[i]]
 
 
-def _hits(batches: Iterator[pa.RecordBatch], index: list[dict]) -> Iterator[pa.RecordBatch]:
+def _hits(batches: Iterator[pa.RecordBatch], index: list[dict], key: str = "doc_id") -> Iterator[pa.RecordBatch]:
     none = hashlib.sha256(b"").hexdigest()
     for batch in batches:
         n_rows = batch.num_rows
@@ -201,7 +201,7 @@ def _hits(batches: Iterator[pa.RecordBatch], index: list[dict]) -> Iterator[pa.R
                 spans[a + row] = (firsts, lasts)
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id").cast(pa.int64()),
+                batch.column(key).cast(pa.int64()),
                 pa.array(n_words),
                 pa.array(n_hit),
                 pa.array([len(x) for x in items], pa.int64()),
@@ -211,7 +211,7 @@ def _hits(batches: Iterator[pa.RecordBatch], index: list[dict]) -> Iterator[pa.R
                 pa.array([s[0] for s in spans], pa.list_(pa.int64())),
                 pa.array([s[1] for s in spans], pa.list_(pa.int64())),
             ],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hit_starts", "hit_ends"],
+            names=[key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hit_starts", "hit_ends"],
         )
 
 
@@ -224,14 +224,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORD
     if total <= max_broadcast:
         rows = [(bytes(r["window"]), list(r["items"])) for r in found.collect()]
         return _searched(docs, rows, prefix)
-    return _in_rounds(docs, found, prefix, -(-total // max_broadcast))
+    rows = numbered(text_rows(docs, "doc_id", "text"), "documents")
+    merged = _in_rounds(rows, found, prefix, -(-total // max_broadcast))
+    return rows.select("doc_id", ROW).join(merged, ROW).drop(ROW)
 
 
-def _searched(docs: DataFrame, rows: list[tuple[bytes, list[str]]], prefix: int) -> DataFrame:
+def _searched(docs: DataFrame, rows: list[tuple[bytes, list[str]]], prefix: int, key: str = "doc_id") -> DataFrame:
     frequency = shingle_frequencies(docs, shingles_of(rows, prefix)) if rows else {}
     index = prefix_index(rows, prefix, frequency) if rows else []
     shipped = docs.sparkSession.sparkContext.broadcast(index)
-    return text_rows(docs, "doc_id", "text").mapInArrow(lambda b: _hits(b, shipped.value), SCHEMA)
+    return text_rows(docs, key, "text").mapInArrow(lambda b: _hits(b, shipped.value, key), SCHEMA.replace("doc_id", key))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, prefix: int = PREFIX_WORDS, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -241,8 +243,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_
     found = windows(benchmark, size)
     total = found.count()
     if total > max_broadcast:
-        bad = _in_rounds(docs, found, prefix, -(-total // max_broadcast)).where("contaminated").select("doc_id")
-        return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+        rows = numbered(docs, "documents")
+        bad = _in_rounds(rows, found, prefix, -(-total // max_broadcast)).where("contaminated").select(ROW)
+        return rows.join(bad, ROW, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
     rows = [(bytes(r["window"]), list(r["items"])) for r in found.collect()]
     if not rows:
         return docs
@@ -261,25 +264,31 @@ def _clean(batches: Iterator[pa.RecordBatch], index: list[dict]) -> Iterator[pa.
 
 
 def _in_rounds(docs: DataFrame, found: DataFrame, prefix: int, rounds: int) -> DataFrame:
-    """The same for a benchmark over the bound: windows are dealt to rounds by hash and the rounds' results are merged by document."""
+    """The same for a benchmark over the bound and numbered rows: windows are dealt to rounds by hash and the rounds' results are merged by row."""
     parts = None
     for k in range(rounds):
         rows = [(bytes(r["window"]), list(r["items"])) for r in found.where(F.pmod(F.xxhash64("window"), F.lit(rounds)) == k).collect()]
-        got = _searched(docs, rows, prefix)
+        got = _searched(docs, rows, prefix, ROW)
         parts = got if parts is None else parts.unionByName(got)
     spans = F.zip_with("hit_starts", "hit_ends", lambda s, e: F.struct(s.alias("s"), e.alias("e")))
-    out = parts.groupBy("doc_id").agg(
+    out = parts.groupBy(ROW).agg(
         F.max("n_words").alias("n_words"),
         F.flatten(F.collect_list(spans)).alias("runs"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    runs = F.aggregate(
-        F.array_sort("runs"),
-        F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("hit")),
-        lambda acc, r: F.struct(F.greatest(acc["end"], r["e"]).alias("end"), (acc["hit"] + F.greatest(F.lit(0).cast("long"), r["e"] - F.greatest(acc["end"], r["s"]))).alias("hit")),
-    )["hit"]
+    touches = lambda acc, r: (F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= r["s"])
+    joined = lambda acc, r: F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], r["e"]).alias("e"))
+    out = out.withColumn(
+        "runs",
+        F.aggregate(
+            F.array_sort("runs"),
+            F.expr("cast(array() as array<struct<s: bigint, e: bigint>>)"),
+            lambda acc, r: F.when(touches(acc, r), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined(acc, r)))).otherwise(F.concat(acc, F.array(r))),
+        ),
+    )
+    runs = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["e"] - r["s"])
     return out.select(
-        "doc_id",
+        ROW,
         "n_words",
         runs.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),

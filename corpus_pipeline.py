@@ -3,8 +3,8 @@
 Each stage takes the documents that its predecessor kept, as a Parquet table.
 The first three drop rows, the fourth rewrites texts and the last returns packed
 pieces. Nulls, empty texts and empty tables pass as the operators define it:
-texts without a letter are dropped as having no language; rows without a doc_id
-stay until they are packed.
+texts without a letter are dropped as having no language, unless no row is
+labelled; rows without a doc_id stay until they are packed.
 """
 
 from __future__ import annotations
@@ -18,13 +18,10 @@ from pyspark.sql import functions as F
 from lagpair.llm import decontaminate, language_id, near_dedup, packing, secrets
 from lagpair.llm.common import documents, stored
 
-#: Cosine under which a text is in none of the languages: two random vectors of the profiles' size rarely reach it.
-LEAST_COSINE = 0.05
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns the languages from all labelled rows and drops texts that are in none."""
-    return language_id.keep_identified(docs, language_id.prototypes(docs, F.lit(True)), LEAST_COSINE)
+    """Learns the languages from all labelled rows and drops texts that are in none; texts too short to be judged stay."""
+    return language_id.keep_identified(docs, language_id.learnt(docs, F.lit(True)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

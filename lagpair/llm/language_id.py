@@ -15,6 +15,12 @@ every text if there is nothing to learn from. Ties go to the language that sorts
 first. Texts of rows without a language are predicted, never learnt from.
 Repeated rows each give a row and each count in training. Columns other than
 doc_id, text and lang are ignored.
+
+A text is in none of the languages if, for each, its cosine lies surely under
+what a text of as many grams has on average in that language. That average is
+the profile's own: two grams drawn from the training texts are equal with a
+known probability. A short text's average is within the noise of random vectors,
+so it is never rejected.
 """
 
 from __future__ import annotations
@@ -34,6 +40,8 @@ GRAM = 3
 #: Letters are hashed to so many vectors; 0 is the boundary.
 LETTERS = 4096
 UNKNOWN = "und"
+#: Share of a language's average cosine under which a text is not in it, and the deviations of random cosines that it must be under it.
+SHARE, DEVIATIONS = 0.5, 5
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -111,8 +119,15 @@ def gram_counts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def text_vectors(raw: np.ndarray, offsets: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """Bundled vector of each text, and which texts have a letter."""
+    return sized_vectors(raw, offsets, dims)[:2]
+
+
+def sized_vectors(raw: np.ndarray, offsets: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with each text's number of grams over the norm of its counts: the root of its number of grams if they all differ."""
     row, gram, count, has = gram_counts(raw, offsets)
-    out = np.zeros((len(offsets) - 1, dims), dtype=np.float32)
+    rows = len(offsets) - 1
+    size = np.bincount(row, weights=count, minlength=rows) / np.sqrt(np.maximum(np.bincount(row, weights=count.astype(np.float64) ** 2, minlength=rows), 1))
+    out = np.zeros((rows, dims), dtype=np.float32)
     distinct, place = np.unique(gram, return_inverse=True)
     for low in range(0, len(distinct), 16384):  # a part of the grams at a time, which bounds the memory
         vectors = gram_vectors(distinct[low : low + 16384], dims)
@@ -123,11 +138,12 @@ def text_vectors(raw: np.ndarray, offsets: np.ndarray, dims: int) -> tuple[np.nd
             for s in range(a, b, 8192):
                 e = min(s + 8192, b)
                 out[r[a]] += c[s:e] @ vectors[p[s:e]]
-    return out, has
+    return out, has, size
 
 
 def _bundled(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
+    grams: dict[str, float] = {}
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
         for a, b, raw, offsets in K.chunks(batch.column("text")):
@@ -137,21 +153,35 @@ def _bundled(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.Record
                 distinct, place = np.unique(gram[mine], return_inverse=True)
                 totals = np.bincount(place, weights=count[mine], minlength=len(distinct))
                 into = sums.setdefault(lang, np.zeros(dims))
+                grams[lang] = grams.get(lang, 0) + totals.sum()
                 for low in range(0, len(distinct), 16384):
                     into += totals[low : low + 16384].astype(np.float32) @ gram_vectors(distinct[low : low + 16384], dims)
     for lang, total in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * dims, pa.string()), pa.array(np.arange(dims), pa.int32()), pa.array(np.rint(total).astype(np.int64))], names=["lang", "dim", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * (dims + 1), pa.string()), pa.array(np.arange(dims + 1), pa.int32()), pa.array(np.rint(np.append(total, grams[lang])).astype(np.int64))], names=["lang", "dim", "v"])
 
 
-def prototypes(docs: DataFrame, train: Column, dims: int = DIMS) -> dict[str, np.ndarray]:
-    """Prototype of every language of the training rows. What comes to the driver is ``dims`` numbers a language."""
+def learnt(docs: DataFrame, train: Column, dims: int = DIMS) -> dict[str, tuple[np.ndarray, float]]:
+    """For every language of the training rows, its prototype and the average cosine, by :func:`sized_vectors`' size, of a text in it.
+
+    What comes to the driver is ``dims`` numbers a language and its number of grams.
+    """
     small_batches(docs.sparkSession)
     rows = text_rows(docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()), "lang", "text")
     sums = rows.mapInArrow(lambda b: _bundled(b, dims), "lang string, dim int, v long").groupBy("lang", "dim").agg(F.sum("v").alias("v"))
     out: dict[str, np.ndarray] = {}
     for r in sums.collect():
-        out.setdefault(r["lang"], np.zeros(dims))[r["dim"]] = r["v"]
-    return {lang: v / np.linalg.norm(v) for lang, v in sorted(out.items()) if v.any()}
+        out.setdefault(r["lang"], np.zeros(dims + 1))[r["dim"]] = r["v"]
+    return {lang: (v[:-1] / np.linalg.norm(v[:-1]), _average(np.linalg.norm(v[:-1]) / np.sqrt(dims), v[-1])) for lang, v in sorted(out.items()) if v[:-1].any()}
+
+
+def _average(norm: float, grams: float) -> float:
+    """Average weight in a profile of a gram of its language: pairs of equal grams in the training texts, a gram with itself left out."""
+    return max(0.0, (norm**2 - grams) / (norm * max(grams - 1, 1)))
+
+
+def prototypes(docs: DataFrame, train: Column, dims: int = DIMS) -> dict[str, np.ndarray]:
+    """Prototype of every language of the training rows."""
+    return {lang: vector for lang, (vector, _) in learnt(docs, train, dims).items()}
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], names: list[str], profiles: np.ndarray, dims: int) -> Iterator[pa.RecordBatch]:
@@ -183,17 +213,25 @@ def identify(docs: DataFrame, folds: int = 5, held: int = 0, dims: int = DIMS) -
     return predict(docs, profiles, dims).select("doc_id", (fold("doc_id", folds) == held).alias("held_out"), "lang_pred", "score")
 
 
-def _accepted(batches: Iterator[pa.RecordBatch], names: list[str], profiles: np.ndarray, dims: int, least: float) -> Iterator[pa.RecordBatch]:
+def _accepted(batches: Iterator[pa.RecordBatch], profiles: np.ndarray, average: np.ndarray, dims: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        only = pa.RecordBatch.from_arrays([batch.column("text")], names=["text"])
-        found = next(_predicted(iter([only]), names, profiles, dims))
-        keep = (found.column("score").to_numpy() >= least) & (np.array(found.column("lang_pred").to_pylist(), dtype=object) != UNKNOWN)
+        keep = np.zeros(batch.num_rows, dtype=bool)
+        for a, b, raw, offsets in K.chunks(batch.column("text")):
+            vectors, has, size = sized_vectors(raw, offsets, dims)
+            cosines = (vectors @ profiles.T) / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
+            least = SHARE * size[:, None] * average - DEVIATIONS / np.sqrt(dims)
+            keep[a:b] = has & (cosines >= least).any(axis=1)
         yield batch.filter(pa.array(keep))
 
 
-def keep_identified(docs: DataFrame, profiles: dict[str, np.ndarray], least: float, dims: int = DIMS) -> DataFrame:
-    """Rows of ``docs`` whose text has a known language with a score of ``least`` or more; all columns stay."""
+def keep_identified(docs: DataFrame, languages: dict[str, tuple[np.ndarray, float]], dims: int = DIMS) -> DataFrame:
+    """Rows of ``docs`` whose text has a letter and may be in one of the languages of :func:`learnt`; all columns stay.
+
+    Without a language to learn from all rows stay.
+    """
+    if not languages:
+        return docs
     small_batches(docs.sparkSession)
-    names = list(profiles)
-    matrix = np.array([profiles[k] for k in names], dtype=np.float32).reshape(-1, dims)
-    return docs.mapInArrow(lambda b: _accepted(b, names, matrix, dims, least), docs.schema)
+    matrix = np.array([vector for vector, _ in languages.values()], dtype=np.float32)
+    average = np.array([mean for _, mean in languages.values()])
+    return docs.mapInArrow(lambda b: _accepted(b, matrix, average, dims), docs.schema)

@@ -3,14 +3,18 @@
 Base spans come from three patterns. The method adds spans of three more kinds,
 each reported only after its structure has been parsed:
 
-* ``jwt``: three dot-separated base64url parts whose first decodes to a JSON
-  object with a string ``alg`` and whose second decodes to a JSON object;
+* ``jwt``: three consecutive parts of a dotted base64url run whose first decodes
+  to a JSON object with a string ``alg`` and whose second to a JSON object;
 * ``der``: a base64 or hex run that decodes to ASN.1 DER whose outer SEQUENCE
   fills the bytes, whose nested lengths add up and which starts as a private
   key does (a version number, then an algorithm or a large integer);
 * ``openssh``: a base64 run that decodes to ``openssh-key-v1`` and whose nested
   length-prefixed strings stay inside it.
 
+A run may go on over line breaks and indentation. It is cut at the length that
+the outer DER header or the OpenSSH fields give, so words on the next line do not
+belong to it; every line of a run may begin a key.
+
 Edge cases: a null or empty text has no span. Repeated rows each give a row.
 Columns other than doc_id and text are ignored. Whole texts are scanned; the
 patterns are linear in the text.
@@ -37,8 +41,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "jwt", "der", "openssh")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-])")
-_BLOB = re.compile(r"[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,}+")
+_JWT_LEAST = (8, 2, 8)
+_RUN = re.compile(r"(?<![A-Za-z0-9+/])(?=M|b3BlbnNzaC1rZXktdjE|30)[A-Za-z0-9+/]{40,}+")
+_LINE = {False: re.compile(r"[A-Za-z0-9+/]+"), True: re.compile(r"[0-9a-fA-F]+")}
+_BREAK = re.compile(r"[\x20\t]*\r?\n[\x20\t]*")
 _WORD = re.compile(r"(?:password|passwd|secret|token|api_?key)", re.IGNORECASE | re.ASCII)
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -133,18 +140,97 @@ def is_openssh_key(raw: bytes | None) -> bool:
     return strings == 3
 
 
+def der_size(raw: bytes | None) -> int | None:
+    """Bytes of the outer SEQUENCE with its header, if it begins as a private key does: with a small version."""
+    if raw is None or len(raw) < 12 or raw[0] != 0x30:
+        return None
+    width = raw[1] & 0x7F if raw[1] & 0x80 else 0
+    if raw[1] == 0x80 or width > 4 or raw[2 + width : 4 + width] != b"\x02\x01" or raw[4 + width] > 2:
+        return None
+    return 2 + width + (int.from_bytes(raw[2 : 2 + width], "big") if width else raw[1])
+
+
+def openssh_size(raw: bytes) -> int | None:
+    """Bytes that the fields of an OpenSSH key take: three strings, the number of keys, their public parts, the private part."""
+    at = len(b"openssh-key-v1\0")
+    for _ in range(3):
+        at += 4 + int.from_bytes(raw[at : at + 4], "big")
+    keys, at = int.from_bytes(raw[at : at + 4], "big"), at + 4
+    for _ in range(keys + 1):
+        if at + 4 > len(raw):
+            return None
+        at += 4 + int.from_bytes(raw[at : at + 4], "big")
+    return at if at <= len(raw) else None
+
+
+def taken(text: str, at: int, need: int | None, is_hex: bool = False) -> tuple[str, list[tuple[int, int]]]:
+    """``need`` digits (or all) of the run at ``at``, over line breaks and indentation, and where each line's digits begin and end."""
+    parts, places, have = [], [], 0
+    while m := _LINE[is_hex].match(text, at):
+        end = m.end() if need is None else min(m.end(), at + need - have)
+        parts.append(text[at:end])
+        places.append((at, end))
+        have += end - at
+        if have == need or end < m.end() or not (gap := _BREAK.match(text, end)):
+            break
+        at = gap.end()
+    return "".join(parts), places
+
+
+def _padded(text: str, end: int, digits: int) -> int:
+    """The end of base64 digits with the padding behind them."""
+    most = -digits % 4
+    while most and end < len(text) and text[end] == "=":
+        end, most = end + 1, most - 1
+    return end
+
+
+def key_span(text: str, start: int) -> tuple[int, str] | None:
+    """End and kind of the private key whose base64 or hex begins at ``start``."""
+    if text[start] == "M":
+        size = der_size(_b64(text[start : start + 20]))
+        if size is None:
+            return None
+        need = -(-size * 4 // 3)
+        digits, places = taken(text, start, need)
+        raw = _b64(digits) if len(digits) == need else None
+        return (_padded(text, places[-1][1], need), "der") if is_der_key(raw) else None
+    if text[start] == "3":
+        head = re.match(r"[0-9a-fA-F]{24}", text[start : start + 24])
+        size = der_size(bytes.fromhex(head[0])) if head else None
+        if size is None:
+            return None
+        digits, places = taken(text, start, 2 * size, is_hex=True)
+        return (places[-1][1], "der") if len(digits) == 2 * size and is_der_key(bytes.fromhex(digits)) else None
+    digits, places = taken(text, start, None)
+    raw = _b64(digits[: len(digits) - (len(digits) % 4 == 1)])
+    if not is_openssh_key(raw):
+        return None
+    size = openssh_size(raw)
+    if size is None:  # the first fields alone are whole: all of the run
+        return _padded(text, places[-1][1], len(digits)), "openssh"
+    need = -(-size * 4 // 3)
+    for a, b in places:
+        if need <= b - a:
+            return _padded(text, a + need, -(-size * 4 // 3)), "openssh"
+        need -= b - a
+    return None
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans whose decoded structure was parsed."""
-    out = [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_jwt(m[1], m[2])]
-    for m in _BLOB.finditer(text):
-        if m[0][0] == "M":
-            if is_der_key(_b64(m[0])):
-                out.append((m.start(), m.end(), "der"))
-        elif m[0].startswith("b3BlbnNzaC1rZXktdjE"):
-            if is_openssh_key(_b64(m[0])):
-                out.append((m.start(), m.end(), "openssh"))
-        elif m[0].startswith("30") and (h := re.match(r"(?:[0-9a-fA-F]{2})+", m[0])) and is_der_key(bytes.fromhex(h[0])):
-            out.append((m.start(), m.start() + h.end(), "der"))
+    out = []
+    for m in _DOTTED.finditer(text):
+        parts, at = m[0].split("."), m.start()
+        for three in zip(parts, parts[1:], parts[2:]):
+            if all(len(part) >= least for part, least in zip(three, _JWT_LEAST)) and is_jwt(three[0], three[1]):
+                out.append((at, at + sum(map(len, three)) + 2, "jwt"))
+            at += len(three[0]) + 1
+    done = 0
+    for m in _RUN.finditer(text):
+        if m.start() >= done and (found := key_span(text, m.start())):
+            done = found[0]
+            out.append((m.start(), *found))
     return out
 
 

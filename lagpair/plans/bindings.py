@@ -72,7 +72,12 @@ def event_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first draw of each pair with its vectors."""
+    """Every draw of each pair with its vectors."""
+    return sampling.with_vectors(event_examples(spark, sf_dir), embeddings(spark, sf_dir))
+
+
+def first_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first draw of each pair with its vectors: what the SQL of the queries that read it has."""
     return sampling.with_vectors(event_examples(spark, sf_dir).where("draw = 0"), embeddings(spark, sf_dir))
 
 

@@ -208,7 +208,7 @@ def long_delta(rows: DataFrame, column, *more: str) -> DataFrame:
 
 @query
 def delta_raw(spark, sf_dir):
-    return long_delta(B.vector_pairs(spark, sf_dir), vectors.delta(F.col("x0"), F.col("x1")))
+    return long_delta(B.first_draws(spark, sf_dir), vectors.delta(F.col("x0"), F.col("x1")))
 
 
 def mean_delta() -> F.Column:
@@ -218,12 +218,12 @@ def mean_delta() -> F.Column:
 
 @query
 def delta_mean(spark, sf_dir):
-    return long_delta(B.vector_pairs(spark, sf_dir), mean_delta())
+    return long_delta(B.first_draws(spark, sf_dir), mean_delta())
 
 
 @query
 def extract_delta_embeddings(spark, sf_dir):
-    rows = B.vector_pairs(spark, sf_dir)
+    rows = B.first_draws(spark, sf_dir)
     flipped = F.col("label") == 1
     signed = F.transform(mean_delta(), lambda v: F.when(flipped, -v).otherwise(v))
     return long_delta(rows, signed, "label")
@@ -239,7 +239,7 @@ def pool_attentive(spark, sf_dir):
 @query
 def delta_attentive(spark, sf_dir):
     model = attention.AttentivePool.fixed(B.TOKEN_DIM, B.TOKEN_DIM, heads=2)
-    return long_delta(B.vector_pairs(spark, sf_dir), vectors.delta(model.pooled(F.col("x0")), model.pooled(F.col("x1"))))
+    return long_delta(B.vector_pairs(spark, sf_dir), vectors.delta(model.pooled(F.col("x0")), model.pooled(F.col("x1"))), "draw")
 
 
 @query
@@ -256,8 +256,8 @@ def subset_by_index(spark, sf_dir):
 
 @query
 def project_deltas(spark, sf_dir):
-    rows = B.vector_pairs(spark, sf_dir).select("id", "before", "after", "label", vectors.delta(F.col("x0"), F.col("x1")).alias("x"))
-    return shown(training.project(rows), "label", "p0", "p1")
+    rows = B.vector_pairs(spark, sf_dir).select("id", "before", "after", "draw", "label", vectors.delta(F.col("x0"), F.col("x1")).alias("x"))
+    return shown(training.project(rows), "draw", "label", "p0", "p1")
 
 
 @query

@@ -277,7 +277,9 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, shin
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs``; ``percent`` is the least similarity of a link."""
+    """doc_id, n_shingles, component_id and kept of every row of ``docs``; ``percent`` is the least similarity of a link, 80 at least."""
+    if percent < 80:
+        raise ValueError("keys, distances and the size filter find links of 80 percent and more alone")
     small_batches(docs.sparkSession)
     sketch = stored(sketches(docs, shingle), "sketches")
     linkable = sketch.where("n_shingles > 0 and doc_id is not null")

@@ -5,7 +5,8 @@ words by array operations on its code points, exactly as the tokenizer's own
 pattern would cut it; words are told apart by a 64-bit hash, and only those that
 a process has not met yet go through the library's model. A text with a code
 point outside the tables below goes through the library as a whole, and so does
-one that holds an added token (``<|endoftext|>``) where these are told apart.
+one that holds an added token (``<|endoftext|>``): ids are always those that the
+library gives by default.
 """
 
 from __future__ import annotations
@@ -26,9 +27,6 @@ LIMIT = 0x2030
 #: Words that a process keeps, at most, before it starts anew.
 KEPT_WORDS = 800_000
 
-_MULT = 0xA24BAED4963EE407 | 1
-_INVERSE = pow(_MULT, -1, 1 << 64)
-
 
 def _classes() -> np.ndarray:
     """Class of each code point: Latin text and general punctuation; all else is UNKNOWN."""
@@ -66,14 +64,13 @@ class Encoder:
 
     ``spaced``: words keep one blank before them and white space is words too (byte-level BPE).
     Otherwise texts are lower-cased, white space is dropped and each digit is a word.
-    ``added``: the content of an added token is its id, as the library has it by default; otherwise it is text like any other.
+    The content of an added token is its id, as the library has it by default.
     """
 
-    def __init__(self, path: str, spaced: bool, added: bool = False):
+    def __init__(self, path: str, spaced: bool):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not added
         self.spaced = spaced
-        tokens = self.tokenizer.get_added_tokens_decoder().values() if added else []
+        tokens = self.tokenizer.get_added_tokens_decoder().values()
         if any(t.normalized for t in tokens):
             raise ValueError("added tokens are sought in texts as they are, not in normalized ones")
         self.marks = [t.content for t in tokens]
@@ -161,10 +158,7 @@ class Encoder:
         if not self.spaced:
             keep = kind[first] != SPACE
             first, last = first[keep], last[keep]
-        sums = np.zeros(len(cps) + 1, dtype=np.uint64)
-        np.cumsum(_VALUE[known] * K.power_table(_MULT, len(cps))[: len(cps)], out=sums[1:])
-        hashes = (sums[last] - sums[first]) * K.power_table(_INVERSE, len(cps))[first]
-        hashes = K.mix(hashes + (last - first).astype(np.uint64))
+        hashes = K.run_hashes(_VALUE[known], first, last)
         odd = np.flatnonzero(np.add.reduceat(kind == UNKNOWN, np.minimum(at[:-1], len(cps) - 1)) * (at[1:] > at[:-1])) if (kind == UNKNOWN).any() else []
         odd = np.union1d(odd, self._marked(text, at)).astype(np.int64)
         row_of = np.searchsorted(first, at)
@@ -229,18 +223,18 @@ class Encoder:
             start[more[more < n]] = True
 
 
-def encoder(path: str, spaced: bool, added: bool = False) -> Encoder:
+def encoder(path: str, spaced: bool) -> Encoder:
     """The process's encoder for a tokenizer file; it keeps the words it has met from task to task."""
-    key = f"encoder {path} {added}"
+    key = f"encoder {path}"
     kept = K.cache().get(key)
     if kept is None:
-        kept = K.cache()[key] = Encoder(path, spaced, added)
+        kept = K.cache()[key] = Encoder(path, spaced)
     return kept
 
 
-def encoded(column: pa.Array, path: str, spaced: bool, added: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def encoded(column: pa.Array, path: str, spaced: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of a column: first row, end row, ids, offsets of the rows' ids."""
-    model = encoder(path, spaced, added)
+    model = encoder(path, spaced)
     for a, b, raw, offsets in K.chunks(column):
         ids, bounds = model.chunk(raw, offsets)
         yield a, b, ids, bounds

@@ -1,9 +1,11 @@
 """Vectorised text kernels shared by the operators that run on Arrow batches.
 
 Everything here works on the UTF-8 bytes of a whole Arrow string column at
-once: no Python string is made for a word. A word is hashed by a polynomial
-prefix hash over random byte values modulo 2**64, so that any run of bytes is
-hashed by one subtraction and one multiplication.
+once: no Python string is made for a word. A word's hash is the sum of a mixed
+64-bit value for each of its (place, letter) pairs, cut out of prefix sums by one
+subtraction. Values of different pairs have nothing to do with each other, so
+words of any pattern, such as Thue-Morse words, have equal hashes by chance
+alone, with a probability of 2**-64 for two words.
 """
 
 from __future__ import annotations
@@ -22,9 +24,6 @@ CHUNK_BYTES = 1 << 20
 HASH_BITS = 52
 HASH_MASK = np.uint64((1 << HASH_BITS) - 1)
 
-MULT = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(MULT, -1, 1 << 64)
-
 
 def _lut(predicate) -> np.ndarray:
     return np.array([predicate(b) for b in range(256)], dtype=bool)
@@ -45,17 +44,6 @@ def cache() -> dict:
     return sys.modules.setdefault("_lagpair_cache", types.ModuleType("_lagpair_cache")).__dict__
 
 
-def power_table(base: int, size: int) -> np.ndarray:
-    """base ** 0, base ** 1, ... modulo 2**64, ``size`` of them at least."""
-    key = f"powers {base}"
-    table = cache().get(key)
-    if table is None or len(table) < size:
-        grown = np.full(max(size, CHUNK_BYTES + 4096), np.uint64(base), dtype=np.uint64)
-        grown[0] = 1
-        table = cache()[key] = np.multiply.accumulate(grown)
-    return table
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit integers (xor-shift-multiply, two rounds)."""
     x = x ^ (x >> np.uint64(31))
@@ -66,6 +54,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def run_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the ascending, disjoint runs [start, end) of random letter values, of which none is empty."""
+    n = len(values)
+    place = np.zeros(n, np.int64)
+    place[start] = start
+    np.maximum.accumulate(place, out=place)
+    np.subtract(np.arange(n), place, out=place)
+    x = place.view(np.uint64)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x += values
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(32)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(x, out=sums[1:])
+    return mix(sums[end] - sums[start] + (end - start).astype(np.uint64))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; a null has no bytes."""
     if column.null_count:
@@ -117,11 +125,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray = SPACED) ->
     last = body.copy()
     last[:-1] &= ~body[1:] | edge[1:-1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUE[raw] * power_table(MULT, n)[:n], out=sums[1:])
-    hashed = (sums[end] - sums[start]) * power_table(INVERSE, n)[start]
-    hashed = mix(hashed + (end - start).astype(np.uint64))
-    return hashed, start, end, np.searchsorted(start, offsets)
+    return run_hashes(_BYTE_VALUE[raw], start, end), start, end, np.searchsorted(start, offsets)
 
 
 def word_counts(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray = SPACED) -> np.ndarray:

@@ -9,14 +9,20 @@ import pytest
 from tokenizers import Tokenizer
 
 from lagpair.llm import bpe, packing, token_store
+from lagpair.llm import textkit as K
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
 def direct(path, text):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return [e.ids for e in t.encode_batch(text, add_special_tokens=False)]
+    return [e.ids for e in Tokenizer.from_file(path).encode_batch(text, add_special_tokens=False)]
+
+
+def thue_morse(k, letters="ab"):
+    word, other = letters
+    for _ in range(k):
+        word, other = word + other, other + word
+    return word, other
 
 
 def crc(ids):
@@ -27,13 +33,24 @@ def crc(ids):
 def test_encoder_equals_the_library(path, spaced):
     rng = random.Random(3)
     bits = [*"abcSTMDrevlé' '''  \n\n\t\r.,!12ß", "'s", "'re", "'LL", "'ll ", " 'tis", "don't", "\u0085", "’", "\x1f", "日", "İ", "ǅ", "́", "Σς", "½", "ª", "<|endoftext|>", "\U0001f600", "ŉ"]
-    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["", None, "'", "'s", "   ", " ", "a" * 5000]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["", None, "'", "'s", "   ", " ", "a" * 5000, *thue_morse(10), *thue_morse(11), *thue_morse(12)]
     got = []
     for a, b, ids, at in bpe.encoded(pa.array(texts, pa.string()), path, spaced):
         got += [ids[at[i] : at[i + 1]].tolist() for i in range(b - a)]
     assert got == direct(path, [t or "" for t in texts])
 
 
+def test_words_of_any_pattern_have_hashes_of_their_own():
+    for letters in ("ab", "az", "xy"):
+        pairs = [thue_morse(k, letters) for k in range(14)]
+        texts = sorted({w for pair in pairs for w in pair})
+        raw, offsets = K.utf8(pa.array([" ".join(texts)], pa.large_string()))
+        hashed, start, end, _ = K.words(raw, offsets)
+        assert len(set(hashed.tolist())) == len(texts) == len(start)
+        again, _, _, _ = K.words(*K.utf8(pa.array(["x  " + " ".join(reversed(texts)).upper()], pa.large_string())))
+        assert again[1:][::-1].tolist() == hashed.tolist()
+
+
 def test_wavelet_matrix_against_numpy():
     rng = np.random.default_rng(5)
     for n in (0, 1, 511, 512, 513, 5000):

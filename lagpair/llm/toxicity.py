@@ -5,15 +5,28 @@ hashed to ``2 ** bits`` places. Each is scaled by its naive Bayes log-count
 ratio, log of its smoothed share among toxic texts over that among the others.
 A logistic regression with an L2 penalty is fitted on the scaled features.
 
+A rare n-gram has a large ratio by chance, and a model that uses it learns its
+few texts by heart. So only n-grams have a weight whose ratio is ``LEAST_RATIO``
+or more in either direction and ``LEAST_Z`` of its own standard errors away from
+0, ``MAX_FEATURES`` of them at most, the surest ones.
+
+The intercept is set by cross-validation among the training rows: ``INNER``
+models, each without a part of them, score that part. The cut on these scores
+that does best (share of toxic texts found less ``FALSE_COST`` times the share of
+others marked, with at most ``MOST_FALSE`` of the others marked) is given the
+score ``threshold``.
+
 The fit uses at most ``max_labelled`` labelled rows, those with the least hash
-of their id; a hash does not favour any. Their number bounds the broadcast and
-what comes to the driver. Features with a ratio under ``least_ratio`` in either
-direction, or in under ``least_rows`` rows, have no weight.
+of their id; a hash does not favour any. What comes to the driver is the counts
+of the chosen features and a bit for each row and feature: ``max_labelled *
+MAX_FEATURES / 8`` bytes, 41 MB, at most.
 
 Edge cases: a null or empty text is scored like any other, by the intercept.
-Without labels of both classes every score is 0. Repeated labels of one doc_id
-count once, as toxic if any is. Null labels and ids are ignored. Columns other
-than doc_id, text and toxic are ignored. Whole texts are scored.
+Without labels of both classes every score is 0; with too few rows for the
+cross-validation the intercept stays as fitted. Repeated labels of one doc_id
+count once, as toxic if any is. Null labels and ids are ignored. Rows that
+repeat a doc_id each count and are each scored. Columns other than doc_id, text
+and toxic are ignored. Whole texts are scored.
 """
 
 from __future__ import annotations
@@ -26,15 +39,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagpair.llm import textkit as K
-from lagpair.llm.common import fold, small_batches, text_rows
+from lagpair.llm.common import discard, fold, small_batches, stored, text_rows
 
 BITS = 20
 SIZES = (4, 5, 6)
 MAX_LABELLED = 20_000
 LEAST_ROWS = 3
 LEAST_RATIO = 1.0
-PENALTY = 0.02
+LEAST_Z = 3.5
+MAX_FEATURES = 16_384
+PENALTY = 1.0
 THRESHOLD = 0.7
+#: Parts of the training rows, each scored by a model of the others to set the intercept.
+INNER = 5
+MOST_FALSE, FALSE_COST = 0.02, 1.0
 
 
 def _lower_table() -> np.ndarray:
@@ -85,27 +103,63 @@ def grams(raw: np.ndarray, offsets: np.ndarray, bits: int, wanted: np.ndarray |
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    totals = np.zeros((2, 1 << bits), np.int32)
-    rows = np.zeros(2, np.int64)
+    """Rows of each class, by part, that hold each place; place -1 counts all rows."""
+    totals = np.zeros((2 * INNER, 1 << bits), np.int32)
+    rows = np.zeros(2 * INNER, np.int64)
     for batch in batches:
-        toxic = batch.column("toxic").to_numpy().astype(np.int64)
-        rows += np.bincount(toxic, minlength=2)
+        kind = 2 * batch.column("part").to_numpy().astype(np.int64) + batch.column("toxic").to_numpy()
+        rows += np.bincount(kind, minlength=2 * INNER)
         for a, _, raw, offsets in K.chunks(batch.column("text")):
             row, place = grams(raw, offsets, bits)
-            for y in (0, 1):
-                totals[y] += np.bincount(place[toxic[a + row] == y], minlength=1 << bits).astype(np.int32)
+            for k in np.unique(kind[a : a + len(offsets) - 1]).tolist():
+                np.add.at(totals[k], place[kind[a + row] == k], 1)
     seen = np.flatnonzero(totals.any(axis=0))
     if rows.any():
-        place = np.append(seen, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(place), *(pa.array(np.append(totals[y][seen], rows[y]).astype(np.int64)) for y in (0, 1))], names=["place", "clean", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), *(pa.array(np.append(t[seen], n).astype(np.int64)) for t, n in zip(totals, rows))], names=["place", *COUNTS])
+
+
+#: Rows without (n) and with (t) a toxic label in each part.
+COUNTS = [f"{y}{k}" for k in range(INNER) for y in "nt"]
+
+
+def ratios(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log-count ratio of each place, and by how many of its standard errors it is off 0."""
+    ratio = np.log((toxic + 1) / (n_toxic + 2)) - np.log((clean + 1) / (n_clean + 2))
+    error = np.sqrt(np.maximum(1 / (toxic + 1) - 1 / (n_toxic + 2) + 1 / (clean + 1) - 1 / (n_clean + 2), 1e-12))
+    return ratio, np.abs(ratio) / error
+
+
+def used(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
+    """The ratio of each place that has a weight, 0 of the others."""
+    ratio, z = ratios(clean, toxic, n_clean, n_toxic)
+    return np.where((clean + toxic >= LEAST_ROWS) & (np.abs(ratio) >= LEAST_RATIO) & (z >= LEAST_Z), ratio, 0.0)
 
 
-def _vectors(batches: Iterator[pa.RecordBatch], bits: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _surest(counts: DataFrame, total: np.ndarray) -> DataFrame:
+    """Counts of the places that may have a weight in the model of all parts or in one that leaves a part out."""
+    sure = []
+    for left_out in (None, *range(INNER)):
+        parts = [k for k in range(INNER) if k != left_out]
+        (clean, n), (toxic, m) = ((sum((F.col(f"{y}{k}") for k in parts), F.lit(0)), float(sum(total[2 * k + i] for k in parts))) for i, y in enumerate("nt"))
+        ratio = F.log((toxic + 1) / (m + 2)) - F.log((clean + 1) / (n + 2))
+        error = F.sqrt(F.greatest(1 / (toxic + 1) - 1 / (m + 2) + 1 / (clean + 1) - 1 / (n + 2), F.lit(1e-12)))
+        sure.append(F.when((clean + toxic >= LEAST_ROWS) & (F.abs(ratio) >= 0.999 * LEAST_RATIO), F.abs(ratio) / error).otherwise(0.0))
+    rows = counts.where("place >= 0").withColumn("z", F.greatest(*sure)).where(F.col("z") >= 0.999 * LEAST_Z)
+    return rows.orderBy(F.desc("z"), "place").limit(MAX_FEATURES)
+
+
+def _vectors(batches: Iterator[pa.RecordBatch], bits: int, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+    wanted = np.zeros(1 << bits, dtype=bool)
+    wanted[places] = True
     for batch in batches:
         for a, b, raw, offsets in K.chunks(batch.column("text")):
             row, place = grams(raw, offsets, bits, wanted)
-            bounds = np.searchsorted(row, np.arange(b - a + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(a, b - a).cast(pa.int32()), pa.array([place[s:e].astype("<u4").tobytes() for s, e in zip(bounds[:-1], bounds[1:])], pa.binary())], names=["toxic", "places"])
+            held = []
+            for s, e in zip(*(np.searchsorted(row, np.arange(b - a) + k) for k in (0, 1))):
+                bit = np.zeros(len(places), dtype=bool)
+                bit[np.searchsorted(places, place[s:e])] = True
+                held.append(np.packbits(bit).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(a, b - a), batch.column("part").slice(a, b - a), pa.array(held, pa.binary())], names=["toxic", "part", "bits"])
 
 
 def _minimise(loss, start: np.ndarray, steps: int = 80, memory: int = 10) -> np.ndarray:
@@ -141,47 +195,88 @@ def _minimise(loss, start: np.ndarray, steps: int = 80, memory: int = 10) -> np.
     return x
 
 
-def fit_weights(ratio: np.ndarray, rows: list[tuple[int, np.ndarray]], penalty: float) -> tuple[np.ndarray, float]:
-    """Weights by place (regression weight times ratio) and the intercept."""
-    used = np.flatnonzero(ratio)
-    column = np.zeros(len(ratio), np.int64)
-    column[used] = np.arange(len(used))
-    y = np.array([t for t, _ in rows], dtype=np.float64)
-    index = column[np.concatenate([p for _, p in rows])] if rows else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(p) for _, p in rows])
-    scale = ratio[used]
+def fit_weights(ratio: np.ndarray, rows: list[np.ndarray], y: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
+    """Weights by feature (regression weight times ratio) and the intercept; a row is the features it has."""
+    have = np.flatnonzero(ratio)
+    column = np.full(len(ratio), -1)
+    column[have] = np.arange(len(have))
+    index = column[np.concatenate(rows)] if rows else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(rows)), [len(p) for p in rows])[index >= 0]
+    index = index[index >= 0]
+    scale = ratio[have]
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         z = np.bincount(owner, (x[:-1] * scale)[index], len(rows)) + x[-1]
         f = np.mean(np.logaddexp(0, z) - y * z) + penalty / len(rows) * x[:-1].dot(x[:-1]) / 2
         e = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(rows)
-        grad = np.bincount(index, e[owner], len(used)) * scale + penalty / len(rows) * x[:-1]
+        grad = np.bincount(index, e[owner], len(have)) * scale + penalty / len(rows) * x[:-1]
         return f, np.append(grad, e.sum())
 
-    x = _minimise(loss, np.append(np.zeros(len(used)), np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9))))
+    x = _minimise(loss, np.append(np.zeros(len(have)), np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9))))
     weights = np.zeros(len(ratio))
-    weights[used] = x[:-1] * scale
+    weights[have] = x[:-1] * scale
     return weights, float(x[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, bits: int = BITS, max_labelled: int = MAX_LABELLED, penalty: float = PENALTY) -> tuple[np.ndarray, float] | None:
-    """Weights and intercept; None without rows of both classes."""
+def best_cut(z: np.ndarray, y: np.ndarray) -> float | None:
+    """The cut of highest worth on scores of rows that their model has not seen; None if they are too few for any.
+
+    Two marked rows are added to the others', so that a cut's share of them is not taken for small on little evidence.
+    """
+    clean, toxic = np.sort(z[y == 0]), np.sort(z[y == 1])
+    cuts = np.unique(z)
+    false = (len(clean) - np.searchsorted(clean, cuts)) / len(clean)
+    found = (len(toxic) - np.searchsorted(toxic, cuts)) / len(toxic)
+    bound = (len(clean) * false + 2) / (len(clean) + 2)
+    worth = np.where(bound <= MOST_FALSE, found - FALSE_COST * false, -1.0)
+    best = int(np.argmax(worth))
+    if worth[best] <= 0:
+        return None
+    below = cuts[best - 1] if best else cuts[best] - 1.0
+    return float(cuts[best] + below) / 2
+
+
+def fit(docs: DataFrame, labels: DataFrame, train: Column, bits: int = BITS, max_labelled: int = MAX_LABELLED, penalty: float = PENALTY, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """Places, their weights and the intercept; None without rows of both classes."""
     small_batches(docs.sparkSession)
-    known = labels.where(train & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where(train & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = text_rows(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    counts = rows.mapInArrow(lambda b: _class_counts(b, bits), "place long, clean long, toxic long").groupBy("place").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    total = counts.where("place = -1").first()
-    if total is None or not total["clean"] or not total["toxic"]:
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(INNER)).cast("int")
+    rows = stored(text_rows(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", part.alias("part"), "text"), "labelled")
+    counts = rows.mapInArrow(lambda b: _class_counts(b, bits), "place long, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("place").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    counts = stored(counts, "gram-counts")
+    head = counts.where("place = -1").first()
+    total = np.array([head[c] for c in COUNTS]) if head else np.zeros(2 * INNER, np.int64)
+    if not total[0::2].any() or not total[1::2].any():
+        discard(rows, counts)
         return None
-    often = counts.where((F.col("place") >= 0) & (F.col("clean") + F.col("toxic") >= LEAST_ROWS)).toArrow()
-    place, clean, toxic = (often.column(c).to_numpy() for c in ("place", "clean", "toxic"))
-    ratios = np.log((toxic + 1) / (total["toxic"] + 2)) - np.log((clean + 1) / (total["clean"] + 2))
-    ratio = np.zeros(1 << bits)
-    ratio[place] = np.where(np.abs(ratios) >= LEAST_RATIO, ratios, 0)
-    wanted = ratio != 0
-    got = rows.mapInArrow(lambda b: _vectors(b, bits, wanted), "toxic int, places binary").toArrow().to_pylist()
-    return fit_weights(ratio, [(r["toxic"], np.frombuffer(r["places"], "<u4").astype(np.int64)) for r in got], penalty)
+    table = _surest(counts, total).orderBy("place").toArrow()
+    places = table.column("place").to_numpy()
+    by_kind = np.stack([table.column(c).to_numpy() for c in COUNTS])
+    got = rows.mapInArrow(lambda b: _vectors(b, bits, places), "toxic int, part int, bits binary").toArrow()
+    y, parts = got.column("toxic").to_numpy(), got.column("part").to_numpy()
+    features = [np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8), count=len(places))) for b in got.column("bits").to_pylist()]
+    discard(rows, counts)
+
+    def model(mine: np.ndarray) -> tuple[np.ndarray, float]:
+        among = np.isin(parts, mine)
+        (clean, n), (toxic, m) = ((by_kind[2 * mine + i].sum(axis=0), total[2 * mine + i].sum()) for i in (0, 1))
+        return fit_weights(used(clean, toxic, n, m), [features[r] for r in np.flatnonzero(among)], y[among].astype(float), penalty)
+
+    unseen = np.full(len(y), np.nan)
+    for k in range(INNER):
+        mine = np.array([p for p in range(INNER) if p != k])
+        if total[2 * mine].any() and total[2 * mine + 1].any():
+            weights, intercept = model(mine)
+            for r in np.flatnonzero(parts == k):
+                unseen[r] = weights[features[r]].sum() + intercept
+    weights, intercept = model(np.arange(INNER))
+    scored = ~np.isnan(unseen)
+    cut = best_cut(unseen[scored], y[scored]) if len(np.unique(y[scored])) == 2 else None
+    if cut is not None:
+        intercept += float(np.log(threshold / (1 - threshold))) - cut
+    have = np.flatnonzero(weights)
+    return places[have], weights[have], intercept
 
 
 def _scored(batches: Iterator[pa.RecordBatch], bits: int, place: np.ndarray, value: np.ndarray, intercept: float) -> Iterator[pa.RecordBatch]:
@@ -196,18 +291,17 @@ def _scored(batches: Iterator[pa.RecordBatch], bits: int, place: np.ndarray, val
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=["doc_id", "score"])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, bits: int = BITS) -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None, bits: int = BITS) -> DataFrame:
     """doc_id and score of every row."""
     small_batches(docs.sparkSession)
     rows = text_rows(docs, "doc_id", "text")
     if model is None:
         return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("score"))
-    place = np.flatnonzero(model[0])
-    value, intercept = model[0][place], model[1]
+    place, value, intercept = model
     return rows.mapInArrow(lambda b: _scored(b, bits, place, value, intercept), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, threshold: float = THRESHOLD) -> DataFrame:
     """Fits on the labelled rows out of the held fold and scores all documents."""
-    scored = score(docs, fit(docs, labels, fold("doc_id", folds) != held))
+    scored = score(docs, fit(docs, labels, fold("doc_id", folds) != held, threshold=threshold))
     return scored.select("doc_id", (fold("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

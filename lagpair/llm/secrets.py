@@ -5,15 +5,16 @@ each reported only after its structure has been parsed:
 
 * ``jwt``: three consecutive parts of a dotted base64url run whose first decodes
   to a JSON object with a string ``alg`` and whose second to a JSON object;
-* ``der``: a base64 or hex run that decodes to ASN.1 DER whose outer SEQUENCE
-  fills the bytes, whose nested lengths add up and which starts as a private
-  key does (a version number, then an algorithm or a large integer);
+* ``der``: a base64, base64url or hex run that decodes to ASN.1 DER whose outer
+  SEQUENCE fills the bytes, whose nested lengths add up and which starts as a
+  private key does (a version number, then an algorithm or a large integer);
 * ``openssh``: a base64 run that decodes to ``openssh-key-v1`` and whose nested
   length-prefixed strings stay inside it.
 
-A run may go on over line breaks and indentation. It is cut at the length that
-the outer DER header or the OpenSSH fields give, so words on the next line do not
-belong to it; every line of a run may begin a key.
+A key is sought wherever the digits of its first bytes stand, also behind other
+letters. It may go on over line breaks, written out as ``\\n`` too, and indentation. It is
+cut at the length that the outer DER header or the OpenSSH fields give, so words
+on the next line do not belong to it.
 
 Edge cases: a null or empty text has no span. Repeated rows each give a row.
 Columns other than doc_id and text are ignored. Whole texts are scanned; the
@@ -43,9 +44,16 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
 _DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,}+")
 _JWT_LEAST = (8, 2, 8)
-_RUN = re.compile(r"(?<![A-Za-z0-9+/])(?=M|b3BlbnNzaC1rZXktdjE|30)[A-Za-z0-9+/]{40,}+")
-_LINE = {False: re.compile(r"[A-Za-z0-9+/]+"), True: re.compile(r"[0-9a-fA-F]+")}
-_BREAK = re.compile(r"[\x20\t]*\r?\n[\x20\t]*")
+# The digits of a key's first bytes. DER: a SEQUENCE (0x30) of a length in one, two or three bytes, then the
+# INTEGER 0 to 2 of one byte (02 01 0x); in base64 three bytes are four digits. OpenSSH: its magic word.
+_B64 = "[A-Za-z0-9+/_-]"
+_SHORT_DER = rf"M[A-H][AEIMQUYcgkosw048]CAQ[AEI]"
+_BYTE_DER = rf"MI[GH]{_B64}AgE[ABC]"
+_WORD_DER = rf"MI[IJKL]{_B64}{{2}}[AQgw]IBA"
+_HEX_DER = r"30(?:[0-7][0-9a-fA-F]|81[0-9a-fA-F]{2}|82[0-9a-fA-F]{4})02010[0-2]"
+_START = re.compile(rf"{_SHORT_DER}|{_BYTE_DER}|{_WORD_DER}|b3BlbnNzaC1rZXktdjE|{_HEX_DER}")
+_ANY_B64, _PLAIN_B64, _HEX_DIGITS = re.compile(rf"{_B64}+"), re.compile(r"[A-Za-z0-9+/]+"), re.compile(r"[0-9a-fA-F]+")
+_BREAK = re.compile(r"[\x20\t]*(?:\r?\n|(?:\\r)?\\n)[\x20\t]*")
 _WORD = re.compile(r"(?:password|passwd|secret|token|api_?key)", re.IGNORECASE | re.ASCII)
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -163,15 +171,14 @@ def openssh_size(raw: bytes) -> int | None:
     return at if at <= len(raw) else None
 
 
-def taken(text: str, at: int, need: int | None, is_hex: bool = False) -> tuple[str, list[tuple[int, int]]]:
+def taken(text: str, at: int, need: int | None, digits: re.Pattern) -> tuple[str, list[tuple[int, int]]]:
     """``need`` digits (or all) of the run at ``at``, over line breaks and indentation, and where each line's digits begin and end."""
     parts, places, have = [], [], 0
-    while m := _LINE[is_hex].match(text, at):
-        end = m.end() if need is None else min(m.end(), at + need - have)
-        parts.append(text[at:end])
-        places.append((at, end))
-        have += end - at
-        if have == need or end < m.end() or not (gap := _BREAK.match(text, end)):
+    while m := digits.match(text, at, len(text) if need is None else at + need - have):
+        parts.append(m[0])
+        places.append(m.span())
+        have += len(m[0])
+        if have == need or not (gap := _BREAK.match(text, m.end())):
             break
         at = gap.end()
     return "".join(parts), places
@@ -188,21 +195,21 @@ def _padded(text: str, end: int, digits: int) -> int:
 def key_span(text: str, start: int) -> tuple[int, str] | None:
     """End and kind of the private key whose base64 or hex begins at ``start``."""
     if text[start] == "M":
-        size = der_size(_b64(text[start : start + 20]))
+        size = der_size(_b64(_ANY_B64.match(text, start, start + 20)[0]))
         if size is None:
             return None
         need = -(-size * 4 // 3)
-        digits, places = taken(text, start, need)
+        digits, places = taken(text, start, need, _ANY_B64)
         raw = _b64(digits) if len(digits) == need else None
         return (_padded(text, places[-1][1], need), "der") if is_der_key(raw) else None
     if text[start] == "3":
-        head = re.match(r"[0-9a-fA-F]{24}", text[start : start + 24])
-        size = der_size(bytes.fromhex(head[0])) if head else None
+        head = _HEX_DIGITS.match(text, start, start + 24)[0]
+        size = der_size(bytes.fromhex(head)) if len(head) == 24 else None
         if size is None:
             return None
-        digits, places = taken(text, start, 2 * size, is_hex=True)
+        digits, places = taken(text, start, 2 * size, _HEX_DIGITS)
         return (places[-1][1], "der") if len(digits) == 2 * size and is_der_key(bytes.fromhex(digits)) else None
-    digits, places = taken(text, start, None)
+    digits, places = taken(text, start, None, _PLAIN_B64)
     raw = _b64(digits[: len(digits) - (len(digits) % 4 == 1)])
     if not is_openssh_key(raw):
         return None
@@ -226,11 +233,12 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
             if all(len(part) >= least for part, least in zip(three, _JWT_LEAST)) and is_jwt(three[0], three[1]):
                 out.append((at, at + sum(map(len, three)) + 2, "jwt"))
             at += len(three[0]) + 1
-    done = 0
-    for m in _RUN.finditer(text):
-        if m.start() >= done and (found := key_span(text, m.start())):
-            done = found[0]
-            out.append((m.start(), *found))
+    at = 0
+    while m := _START.search(text, at):
+        span = key_span(text, m.start())
+        at = span[0] if span else m.start() + 1
+        if span:
+            out.append((m.start(), *span))
     return out
 
 

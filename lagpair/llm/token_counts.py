@@ -12,9 +12,14 @@ A batch's files are written to a folder of its own and become part of the store
 by the commit marker that Spark's committer writes last; a writer that dies
 before it leaves a folder that the next try replaces. One writer commits at a time.
 
-Edge cases: null sources, languages and texts are groups and empty texts. Totals
-that come to nothing (no documents, no tokens) are not returned. Repeated rows
-each count. Columns other than those named are ignored.
+Tokenizer versions are files of the tokenizers library (:class:`Bpe`), or byte
+classes that make words, which SQL can count too.
+
+Edge cases: null sources and languages are groups of their own; a null text is
+empty and has no token, but is a document. Totals that come to nothing (no
+documents, no tokens) are not returned. Repeated rows each count. An empty batch
+is committed like any other. A change with a null count, or a revision without
+the old one, is an error. Columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +28,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagpair.llm import bpe
 from lagpair.llm import textkit as K
-from lagpair.llm.common import small_batches, stored, text_rows, work_path
+from lagpair.llm.common import discard, small_batches, stored, text_rows, work_path
 
 KEYS = ("source", "lang", "tokenizer")
 #: Changes: op is insert, delete or revise; old_tokens is used by revisions alone.
@@ -45,7 +51,12 @@ class Bpe:
 
 
 #: Tokenizer versions that SQL can count too: what bytes a word is made of.
-TOKENIZERS: dict[str, np.ndarray | Bpe] = {"words@1": K.SPACED, "alnum@1": K.ALNUM}
+WORD_COUNTERS: dict[str, np.ndarray | Bpe] = {"words@1": K.SPACED, "alnum@1": K.ALNUM}
+
+
+def library_tokenizers() -> dict[str, np.ndarray | Bpe]:
+    """The versions that the registered rollup counts: two vocabulary files, and words beside them."""
+    return {"byte_bpe_50k@1": Bpe(public_tokenizers.path("byte_bpe_50k.json"), True), "word_bpe_49k@1": Bpe(public_tokenizers.path("word_bpe_49k.json"), False), **WORD_COUNTERS}
 
 
 def _counts(batches: Iterator[pa.RecordBatch], tokenizers: dict) -> Iterator[pa.RecordBatch]:
@@ -63,9 +74,8 @@ def _counts(batches: Iterator[pa.RecordBatch], tokenizers: dict) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays(columns, names=["source", "lang", *tokenizers])
 
 
-def counted(docs: DataFrame, tokenizers: dict | None = None) -> DataFrame:
+def counted(docs: DataFrame, tokenizers: dict) -> DataFrame:
     """source, lang and each text's number of tokens in every tokenizer version; one pass over the texts."""
-    tokenizers = TOKENIZERS if tokenizers is None else tokenizers
     small_batches(docs.sparkSession)
     schema = ", ".join(["source string", "lang string", *(f"`{t}` long" for t in tokenizers)])
     return text_rows(docs, "source", "lang", "text").mapInArrow(lambda b: _counts(b, tokenizers), schema)
@@ -82,7 +92,8 @@ def net(batch: DataFrame) -> DataFrame:
     """Signed totals of a batch of changes; partial sums come before the shuffle, so a source with a third of all rows is no burden."""
     sign = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).when(F.col("op") == "revise", 0).otherwise(F.raise_error(F.lit("unknown change")).cast("int"))
     tokens = F.when(F.col("op") == "revise", F.col("tokens") - F.col("old_tokens")).otherwise(sign * F.col("tokens"))
-    return batch.groupBy(*KEYS).agg(F.sum(sign.cast("long")).alias("n_docs"), F.coalesce(F.sum(tokens), F.lit(0)).cast("long").alias("n_tokens"))
+    known = F.coalesce(tokens, F.raise_error(F.lit("a change without its count")).cast("long"))
+    return batch.groupBy(*KEYS).agg(F.sum(sign.cast("long")).alias("n_docs"), F.sum(known).cast("long").alias("n_tokens"))
 
 
 class RollupStore:
@@ -142,17 +153,29 @@ class RollupStore:
         self.totals().write.mode("overwrite").parquet(f"{folder}/totals")
 
 
-def rollup(docs: DataFrame, store: RollupStore) -> DataFrame:
-    """Loads a table of documents as a pipeline would: texts are inserted with the count of the first tokenizer; the second
-    tokenizer's counts are entered provisionally and then revised; documents without a word are deleted. One batch is sent
-    twice. The totals are those of the documents that have words."""
-    rows = stored(counted(docs), "token-counts")
-    first, second = (F.col(f"`{t}`") for t in TOKENIZERS)
-    a, b = TOKENIZERS
-    store.commit("load", changes(rows, "insert", a, first).unionByName(changes(rows, "insert", b, first)))
-    store.commit("revise", changes(rows, "revise", b, second, first))
-    store.commit("revise", changes(rows, "revise", b, second, first))
-    empty = rows.where(first == 0)
-    store.commit("empty", changes(empty, "delete", a, first).unionByName(changes(empty, "delete", b, second)))
+def rollup(docs: DataFrame, store: RollupStore, tokenizers: dict | None = None) -> DataFrame:
+    """Loads a table of documents as a pipeline would. All texts are inserted in every version; versions but the first are
+    entered with the first one's count and then revised. The texts of one language are then deleted and inserted again, as
+    when they are crawled anew, and that batch is sent twice. The totals are those of all documents."""
+    tokenizers = library_tokenizers() if tokenizers is None else tokenizers
+    rows = stored(counted(docs, tokenizers), "token-counts")
+    first, *others = tokenizers
+    count = {t: F.col(f"`{t}`") for t in tokenizers}
+
+    def every(batches: list[DataFrame]) -> DataFrame:
+        out = batches[0]
+        for b in batches[1:]:
+            out = out.unionByName(b)
+        return out
+
+    store.commit("load", every([changes(rows, "insert", t, count[first]) for t in tokenizers]))
+    if others:
+        store.commit("revise", every([changes(rows, "revise", t, count[t], count[first]) for t in others]))
+    least = rows.agg(F.min("lang").alias("lang")).first()["lang"]
+    again = rows.where(F.col("lang") == F.lit(least))
+    crawled = every([changes(again, op, t, count[t]) for op in ("delete", "insert") for t in tokenizers])
+    for _ in range(2):
+        store.commit("crawled-again", crawled)
     store.compact()
+    discard(rows)
     return store.totals()

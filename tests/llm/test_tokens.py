@@ -1,3 +1,4 @@
+import io
 import random
 import zlib
 from collections import defaultdict
@@ -66,6 +67,35 @@ def test_wavelet_matrix_against_numpy():
                 assert m.rank(t, np.arange(n + 1)).tolist() == np.concatenate([[0], np.cumsum(ids == t)]).tolist()
 
 
+def test_wavelet_matrix_of_several_pages():
+    rng = np.random.default_rng(6)
+    ids = np.minimum(rng.zipf(1.3, 700_000), 50_000).astype(np.uint32)
+    out = io.BytesIO()
+    token_store.write_shard(out, np.array([-5, 3, 9]), 1, np.array([300_000, 0, 400_000]), ids, 16)
+    doc_ids, nulls, starts, m = token_store.read_shard(out.getvalue())
+    assert doc_ids.tolist() == [-5, 3, 9] and nulls == 1 and starts.tolist() == [0, 300_000, 300_000, 700_000]
+    at = rng.integers(0, len(ids), 2000)
+    assert (m.access(at) == ids[at]).all() and (m.decode() == ids).all()
+    for t in (1, 2, 77, 40_000, 50_000):
+        places = np.flatnonzero(ids == t)
+        assert m.occurrences(t).tolist() == places.tolist() and m.count(t, 1000, 650_000) == ((places >= 1000) & (places < 650_000)).sum()
+        assert m.rank(t, at).tolist() == np.searchsorted(places, at).tolist()
+
+
+def test_ids_that_do_not_fit_are_refused():
+    with pytest.raises(ValueError):
+        token_store.WaveletMatrix.build(np.array([70_000]), 16)
+    assert token_store.WaveletMatrix.build(np.array([70_000, 3]), 17).access(np.array([0, 1])).tolist() == [70_000, 3]
+
+
+def test_files_are_smaller_than_plain_ids(spark):
+    folder = token_store.new_folder(spark)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    manifest = token_store.write_tokens(docs, folder, BYTE, 2).collect()
+    size = sum(len(token_store.shard_bytes(folder, r["path"])) for r in manifest)
+    assert size < 1.4 * sum(r["n_tokens"] for r in manifest)
+
+
 def test_token_store_round_trip(spark, documents):
     rows = [(5, "Hello there, it's 5pm.\n\nBye"), (2, ""), (9, None), (1, "x " * 4000), (3, "日本 mixed"), (3, "again"), (None, "no id")]
     folder = token_store.new_folder(spark)

@@ -16,10 +16,13 @@ ARROW_ROWS = "4096"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests, a temporary folder is made and set.
+    Where that is unset, as in tests, a temporary folder is made and set for a local master; on a cluster it is an error,
+    as executors elsewhere could not read it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lagpair-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -47,6 +50,14 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return stored(df.withColumn(ROW, F.monotonically_increasing_id()), name)
 
 
+def row_key(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Rows with a column that tells them apart: doc_id where no id is null or repeats, else a number written with the rows."""
+    ids = docs.select("doc_id")
+    if ids.where("doc_id is null").isEmpty() and ids.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs, "doc_id"
+    return numbered(docs, name), ROW
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of :func:`stored` that no later result reads."""
     for df in tables:
@@ -58,6 +69,41 @@ def remove(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Words of a :func:`marks` table, at most: 64 bits each, some 24 MB where all of them are in use.
+MARK_WORDS = 1 << 19
+
+
+def _mark(column: str) -> tuple[Column, Column]:
+    """Word and bit of an id in a :func:`marks` table."""
+    h = F.xxhash64(F.col(column).cast("long"))
+    return F.pmod(h, F.lit(MARK_WORDS)).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64(cast(`{column}` as bigint)), 40), 64) as int))")
+
+
+def marks(ids: DataFrame, column: str) -> DataFrame:
+    """A bitmap of the hashes of ids, to be broadcast: (word, bits), of at most ``MARK_WORDS`` rows however many ids there are."""
+    word, bit = _mark(column)
+    return ids.where(F.col(f"`{column}`").isNotNull()).select(word.alias("mark_word"), bit.alias("bit")).groupBy("mark_word").agg(F.bit_or("bit").alias("mark_bits"))
+
+
+def marked(rows: DataFrame, column: str, table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose id may be one of those of ``table``, rows whose id is surely none), without a shuffle.
+
+    With many more ids than bits the first part is nearly all rows: the filter saves work and never decides anything.
+    """
+    word, bit = _mark(column)
+    wide = rows.withColumns({"mark_of": word, "mark_bit": bit}).join(F.broadcast(table), F.col("mark_of") == F.col("mark_word"), "left")
+    hit = F.coalesce((F.col("mark_bits").bitwiseAND(F.col("mark_bit")) != 0) & F.col(f"`{column}`").isNotNull(), F.lit(False))
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    return wide.where(hit).select(*names), wide.where(~hit).select(*names)
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """``rows`` whose key is not in ``gone``; only rows that may be in it are shuffled."""
+    gone = stored(gone, "gone")
+    maybe, clear = marked(rows, key, marks(gone, key))
+    return clear.unionByName(maybe.join(gone, key, "left_anti").select(*(F.col(f"`{c}`") for c in rows.columns)))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches by bytes, for very long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)

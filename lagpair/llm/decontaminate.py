@@ -2,45 +2,49 @@
 
 A window is ``size`` consecutive words of a benchmark item (all words of a
 shorter item). As a window must be contained whole, the prefix that the filter
-needs is one token: its rarest shingle. Shingles of ``PREFIX_WORDS`` words are
-ordered by how often they occur in the documents, which one pass over all of
-them counts for the shingles of the benchmark. A document word run that equals
-a prefix token is a candidate for the windows behind that token; the token's
-place in the window fixes where the window would start, the bounds of the
-document drop what cannot fit (length and position), and the whole window is
-then compared, by its hash and byte by byte.
-
-The index of the benchmark's prefix tokens is broadcast while it has at most
-``max_broadcast`` windows; a larger one is dealt into that many windows a
-round, documents passing it round by round, so no task ever holds more. Rows
-are numbered and written before the rounds, whose results are merged by that
-number: each row is judged by itself however large the benchmark is.
+needs is one token: its rarest shingle of ``PREFIX_WORDS`` words. Shingles of the
+benchmark are ordered by how often they occur in the documents, which a pass
+over all of them counts; a window with a shingle that no document has cannot
+occur.
+
+A second pass finds the places of documents where a prefix token may stand and
+gives each with the words around it. These places are joined with the tokens.
+The token's place in the window fixes where the window would start; the bounds
+of the document drop what cannot fit (position and length), and the window is
+compared with the words, byte by byte.
+
+Both passes ask a bitmap of fixed size (``MARK_WORDS`` words of 64 bits, 4 MB)
+whether a shingle is one of the benchmark's. With a very large benchmark it rules
+out less and more places go to the join; it never decides anything. Neither the
+benchmark nor its tokens are collected, and nothing depends on their number.
+Rows are judged one by one: by their doc_id, or by a number that is written with
+them where ids are null or repeat.
 
 Edge cases: a null or empty text, or one without a word, has no words and is
 never hit. An item that repeats (equal text) is an item of its own; rows that
-repeat an item_id count once. A null item_id is ignored. Columns other than
-those named are ignored. Repeated documents each give a row.
+repeat an item_id count once. A null item_id is ignored. An empty benchmark hits
+nothing. Columns other than those named are ignored. Repeated documents each
+give a row.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagpair.llm import textkit as K
-from lagpair.llm.common import ROW, numbered, small_batches, text_rows
+from lagpair.llm.common import ROW, discard, row_key, small_batches, stored, text_rows, without
 
 WINDOW_WORDS = 10
 PREFIX_WORDS = 3
-#: Windows of one broadcast index; with some 300 bytes each it stays under 64 MB.
-MAX_BROADCAST = 200_000
+#: Words of the bitmap of shingles, as a power of two.
+MARK_BITS = 19
 
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, hit_starts array<long>, hit_ends array<long>"
+CANDIDATES = "key long, n_words long, length int, token long, word long, before int, around string"
 
 
 def item_windows(texts: list[str | None], size: int = WINDOW_WORDS) -> list[tuple[int, tuple[bytes, ...]]]:
@@ -60,241 +64,152 @@ def _windows_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
     for batch in batches:
         ids = batch.column("item_id").to_pylist()
         got = item_windows(batch.column("text").to_pylist(), size)
-        yield pa.RecordBatch.from_arrays([pa.array([str(ids[i]) for i, _ in got], pa.string()), pa.array([b" ".join(w) for _, w in got], pa.binary())], names=["item_id", "window"])
+        columns = [pa.array([str(ids[i]) for i, _ in got], pa.string()), pa.array([b" ".join(w).decode() for _, w in got], pa.string()), pa.array([len(w) for _, w in got], pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["item_id", "window", "n"])
 
 
 def windows(benchmark: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
-    """Distinct windows (words joined by a blank), each with the ids of the items that hold it."""
+    """Distinct windows (words joined by a blank), their number of words and the ids of the items that hold them."""
     small_batches(benchmark.sparkSession)
-    each = text_rows(benchmark.where("item_id is not null"), "item_id", "text").mapInArrow(lambda b: _windows_of(b, size), "item_id string, window binary")
-    return each.groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    each = text_rows(benchmark.where("item_id is not null"), "item_id", "text").mapInArrow(lambda b: _windows_of(b, size), "item_id string, window string, n int")
+    return each.groupBy("window", "n").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
-class Shapes:
-    """Hashes of windows and of their shingles, for windows of one word count."""
-
-    def __init__(self, rows: list[tuple[bytes, list[str]]]):
-        self.rows = rows
-        raw, offsets = K.utf8(pa.array([w for w, _ in rows], pa.binary()).cast(pa.large_binary()).cast(pa.large_string()))
-        self.hashed, _, _, self.at = K.words(raw, offsets, K.ALNUM)
-        self.counts = np.diff(self.at)
-
-
-def _shingle_size(n_words: int, prefix: int) -> int:
-    return min(prefix, n_words)
-
-
-def shingles_of(rows: list[tuple[bytes, list[str]]], prefix: int) -> dict[int, np.ndarray]:
-    """Distinct shingle hashes of the windows, by shingle length (shorter than ``prefix`` only for windows that are)."""
-    shapes, out = Shapes(rows), {}
-    for n in np.unique(shapes.counts).tolist():
-        size = _shingle_size(n, prefix)
-        pick = np.flatnonzero(shapes.counts == n)
-        words = shapes.hashed[K.ragged(shapes.at[pick], np.full(len(pick), n))]
-        hashes, _ = K.windows(words, np.arange(len(pick) + 1) * n, size)
-        out[size] = np.union1d(out.get(size, np.zeros(0, np.uint64)), hashes)
-    return out
-
-
-def _counted(batches: Iterator[pa.RecordBatch], wanted: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    totals = {size: np.zeros(len(keys), np.int64) for size, keys in wanted.items()}
+def _shingles(batches: Iterator[pa.RecordBatch], prefix: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, raw, offsets in K.chunks(batch.column("window")):
+            hashed, _, _, at = K.words(raw, offsets, K.ALNUM)
+            counts = np.diff(at)
+            for n in np.unique(counts).tolist():
+                length, pick = min(prefix, n), np.flatnonzero(counts == n)
+                token, _ = K.windows(hashed[K.ragged(at[pick], np.full(len(pick), n))], np.arange(len(pick) + 1) * n, length)
+                each = n - length + 1
+                row = pa.array(a + np.repeat(pick, each))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("window").take(row), pa.array(np.full(len(token), length), pa.int32()), pa.array(np.tile(np.arange(each), len(pick)), pa.int32()), pa.array(token.view(np.int64))],
+                    names=["window", "length", "place", "token"],
+                )
+
+
+def bitmap(tokens: DataFrame) -> np.ndarray:
+    """The bitmap of a column of hashes: what comes to the driver is its words, however many hashes there are."""
+    word = F.shiftrightunsigned("token", 64 - MARK_BITS).cast("int").alias("word")
+    rows = tokens.select(word, F.expr("shiftleft(1L, cast(shiftright(token, 32) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+    out = np.zeros(1 << MARK_BITS, np.int64)
+    out[[r["word"] for r in rows]] = [r["bits"] for r in rows]
+    return out.view(np.uint64)
+
+
+def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the bitmap."""
+    words = bits[(hashes >> np.uint64(64 - MARK_BITS)).astype(np.int64)]
+    return ((words >> ((hashes >> np.uint64(32)) & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], bits: np.ndarray, lengths: list[int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, raw, offsets in K.chunks(batch.column("text")):
             hashed, _, _, at = K.words(raw, offsets, K.ALNUM)
-            for size, keys in wanted.items():
-                place, _ = lookup(keys, K.windows(hashed, at, size)[0])
-                totals[size] += np.bincount(place, minlength=len(keys))
-    for size, counts in totals.items():
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), size), pa.int32()), pa.array(wanted[size][seen].view(np.int64)), pa.array(counts[seen])], names=["size", "shingle", "n"])
-
-
-def lookup(keys: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the sorted ``keys``, index in ``found``) of the members of ``found`` that are keys; a table of 16 hash bits passes over most others."""
-    if not len(keys) or not len(found):
-        none = np.zeros(0, np.int64)
-        return none, none
-    bits = np.zeros(1 << 20, dtype=bool)
-    shift = np.uint64(44)
-    bits[(keys >> shift).astype(np.int64)] = True
-    maybe = np.flatnonzero(bits[(found >> shift).astype(np.int64)])
-    place = np.searchsorted(keys, found[maybe])
-    place[place == len(keys)] = 0
-    ok = keys[place] == found[maybe]
-    return place[ok], maybe[ok]
-
-
-def shingle_frequencies(docs: DataFrame, wanted: dict[int, np.ndarray]) -> dict[int, dict[int, int]]:
-    """Occurrences, in all documents, of the wanted shingles; partial counts of each task are summed by shingle."""
-    small_batches(docs.sparkSession)
-    rows = text_rows(docs, "text").mapInArrow(lambda b: _counted(b, wanted), "size int, shingle long, n long").groupBy("size", "shingle").agg(F.sum("n").alias("n")).collect()
-    out: dict[int, dict[int, int]] = {size: {} for size in wanted}
-    for r in rows:
-        out[r["size"]][r["shingle"] & (1 << 64) - 1] = r["n"]
-    return out
+            for length in lengths:
+                found = K.windows(hashed, at, length)[0]
+                token, n = np.unique(found[_marked(bits, found)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), length), pa.int32()), pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], names=["length", "token", "n"])
 
 
-def prefix_index(rows: list[tuple[bytes, list[str]]], prefix: int, frequency: dict[int, dict[int, int]]) -> list[dict]:
-    """Per word count of the windows: sorted prefix tokens, and for each window its token, the token's place, its hash, bytes and items."""
-    shapes, out = Shapes(rows), []
-    for n in np.unique(shapes.counts).tolist():
-        size = _shingle_size(n, prefix)
-        pick = np.flatnonzero(shapes.counts == n)
-        words = shapes.hashed[K.ragged(shapes.at[pick], np.full(len(pick), n))]
-        bounds = np.arange(len(pick) + 1) * n
-        shingles = K.windows(words, bounds, size)[0].reshape(len(pick), n - size + 1)
-        counts = np.array([[frequency[size].get(h, 0) for h in row] for row in shingles.tolist()], dtype=np.int64)
-        place = np.argmin(counts, axis=1)
-        token = shingles[np.arange(len(pick)), place]
-        seen = counts[np.arange(len(pick)), place] > 0  # a window with a shingle that no document has cannot occur
-        order = np.flatnonzero(seen)[np.argsort(token[seen], kind="stable")]
-        out.append({"n": n, "size": size, "token": token[order], "place": place[order], "hash": K.windows(words, bounds, n)[0][order], "bytes": [rows[i][0] for i in pick[order]], "items": [rows[i][1] for i in pick[order]]})
+def prefix_tokens(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, prefix: int = PREFIX_WORDS) -> DataFrame:
+    """(length, token, place, n, window, items): the rarest shingle, among all documents, of every window that may occur; stored."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    found = stored(windows(benchmark, size), "windows")
+    shingles = stored(found.select("window").mapInArrow(lambda b: _shingles(b, prefix), "window string, length int, place int, token long"), "shingles")
+    lengths = sorted(r["length"] for r in shingles.select("length").distinct().collect())
+    shipped = spark.sparkContext.broadcast(bitmap(shingles))
+    seen = text_rows(docs, "text").mapInArrow(lambda b: _counted(b, shipped.value, lengths), "length int, token long, n long")
+    counts = seen.groupBy("length", "token").agg(F.sum("n").alias("count"))
+    ordered = shingles.join(counts, ["length", "token"], "left").select("window", F.struct(F.coalesce("count", F.lit(0)).alias("count"), "place", "length", "token").alias("s"))
+    rarest = ordered.groupBy("window").agg(F.min("s").alias("s")).where("s.count > 0")
+    out = stored(rarest.join(found, "window").select("s.length", "s.token", "s.place", "n", "window", "items"), "prefix-tokens")
+    discard(found, shingles)
     return out
 
 
-def matches(index: list[dict], low: bytes, hashed: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, list[str]]]:
-    """(row, first word, number of words, items) of each occurrence of a window in a chunk of texts."""
-    for part in index:
-        if not len(part["token"]):
-            continue
-        n = part["n"]
-        found, first = K.windows(hashed, at, part["size"])
-        keys, begin, width = np.unique(part["token"], return_index=True, return_counts=True)
-        place, hit = lookup(keys, found)
-        window = K.ragged(begin[place], width[place])
-        word = np.repeat(first[hit], width[place]) - part["place"][window]
-        row = np.searchsorted(at, np.repeat(first[hit], width[place]), side="right") - 1
-        fits = (word >= at[row]) & (word + n <= at[row + 1])  # positional and length bounds
-        window, word, row = window[fits], word[fits], row[fits]
-        acc = np.zeros(len(word), dtype=np.uint64)
-        for k in range(n):
-            acc = acc * np.uint64(0xD6E8FEB86659FD93) + hashed[word + k]
-        same = np.flatnonzero(K.mix(acc) == part["hash"][window])
-        for i in same.tolist():
-            w = int(word[i])
-            if b" ".join(low[s:e] for s, e in zip(start[w : w + n].tolist(), end[w : w + n].tolist())) == part["bytes"][window[i]]:
-                yield int(row[i]), w, n, part["items"][window[i]]
-
-
-def _hits(batches: Iterator[pa.RecordBatch], index: list[dict], key: str = "doc_id") -> Iterator[pa.RecordBatch]:
-    none = hashlib.sha256(b"").hexdigest()
+def _candidates(batches: Iterator[pa.RecordBatch], key: str, bits: np.ndarray, lengths: list[int], size: int) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in CANDIDATES.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
     for batch in batches:
-        n_rows = batch.num_rows
-        n_words, n_hit = np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64)
-        items: list[list[str]] = [[] for _ in range(n_rows)]
-        spans: list[tuple[list[int], list[int]]] = [([], []) for _ in range(n_rows)]
+        keys = batch.column(key).cast(pa.int64())
         for a, b, raw, offsets in K.chunks(batch.column("text")):
             hashed, start, end, at = K.words(raw, offsets, K.ALNUM)
-            n_words[a:b] = np.diff(at)
             low = K.LOWER[raw].tobytes()
-            covered: dict[int, set[int]] = {}
-            names: dict[int, set[str]] = {}
-            for row, word, n, ids in matches(index, low, hashed, start, end, at):
-                covered.setdefault(row, set()).update(range(word, word + n))
-                names.setdefault(row, set()).update(ids)
-            for row, hit in covered.items():
-                n_hit[a + row] = len(hit)
-                items[a + row] = sorted(names[row])
-                places = sorted(w - int(at[row]) for w in hit)
-                firsts = [p for p in places if p - 1 + int(at[row]) not in hit]
-                lasts = [p + 1 for p in places if p + 1 + int(at[row]) not in hit]
-                spans[a + row] = (firsts, lasts)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(key).cast(pa.int64()),
-                pa.array(n_words),
-                pa.array(n_hit),
-                pa.array([len(x) for x in items], pa.int64()),
-                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() if x else none for x in items], pa.string()),
-                pa.array(n_hit > 0),
-                pa.array(items, pa.list_(pa.string())),
-                pa.array([s[0] for s in spans], pa.list_(pa.int64())),
-                pa.array([s[1] for s in spans], pa.list_(pa.int64())),
-            ],
-            names=[key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hit_starts", "hit_ends"],
-        )
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, prefix: int = PREFIX_WORDS, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """A row per document: its words, hit words, the items whose windows occur in it, and the runs of hit words."""
-    spark = docs.sparkSession
+            none = pa.nulls(b - a)
+            yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(np.diff(at)), *(none.cast(k) for k in kinds[2:])], names=names)
+            for length in lengths:
+                found, first = K.windows(hashed, at, length)
+                hit = np.flatnonzero(_marked(bits, found))
+                if not len(hit):
+                    continue
+                word = first[hit]
+                row = np.searchsorted(at, word, side="right") - 1
+                low_word, high_word = np.maximum(at[row], word - (size - length)), np.minimum(at[row + 1], word + size)
+                around = [b" ".join(low[s:e] for s, e in zip(start[x:y].tolist(), end[x:y].tolist())).decode() for x, y in zip(low_word.tolist(), high_word.tolist())]
+                columns = [keys.take(pa.array(a + row)), np.diff(at)[row], np.full(len(hit), length), found[hit].view(np.int64), word - at[row], word - low_word, around]
+                yield pa.RecordBatch.from_arrays([columns[0], *(pa.array(c, k) for c, k in zip(columns[1:], kinds[1:]))], names=names)
+
+
+def candidates(rows: DataFrame, key: str, prefixes: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
+    """A row for every document (key, n_words), and one for each of its places where a prefix token may stand."""
+    spark = rows.sparkSession
     small_batches(spark)
-    found = windows(benchmark, size)
-    total = found.count()
-    if total <= max_broadcast:
-        rows = [(bytes(r["window"]), list(r["items"])) for r in found.collect()]
-        return _searched(docs, rows, prefix)
-    rows = numbered(text_rows(docs, "doc_id", "text"), "documents")
-    merged = _in_rounds(rows, found, prefix, -(-total // max_broadcast))
-    return rows.select("doc_id", ROW).join(merged, ROW).drop(ROW)
+    lengths = sorted(r["length"] for r in prefixes.select("length").distinct().collect())
+    shipped = spark.sparkContext.broadcast(bitmap(prefixes))
+    return text_rows(rows, key, "text").mapInArrow(lambda b: _candidates(b, key, shipped.value, lengths, size), CANDIDATES)
 
 
-def _searched(docs: DataFrame, rows: list[tuple[bytes, list[str]]], prefix: int, key: str = "doc_id") -> DataFrame:
-    frequency = shingle_frequencies(docs, shingles_of(rows, prefix)) if rows else {}
-    index = prefix_index(rows, prefix, frequency) if rows else []
-    shipped = docs.sparkSession.sparkContext.broadcast(index)
-    return text_rows(docs, key, "text").mapInArrow(lambda b: _hits(b, shipped.value, key), SCHEMA.replace("doc_id", key))
+def occurrences(places: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(key, first, n, items) of each window that occurs, by its first word's number: candidates joined with prefix tokens."""
+    first = F.col("word") - F.col("place")
+    near = places.where("token is not null").join(prefixes, ["length", "token"]).where((first >= 0) & (first + F.col("n") <= F.col("n_words")))
+    same = F.array_join(F.slice(F.split("around", " "), F.col("before") - F.col("place") + 1, F.col("n")), " ") == F.col("window")
+    return near.where((F.col("before") >= F.col("place")) & same).select("key", first.alias("first"), F.col("n").cast("long").alias("n"), "items")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, prefix: int = PREFIX_WORDS, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """Rows of ``docs`` in which no window occurs; all columns stay."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    found = windows(benchmark, size)
-    total = found.count()
-    if total > max_broadcast:
-        rows = numbered(docs, "documents")
-        bad = _in_rounds(rows, found, prefix, -(-total // max_broadcast)).where("contaminated").select(ROW)
-        return rows.join(bad, ROW, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-    rows = [(bytes(r["window"]), list(r["items"])) for r in found.collect()]
-    if not rows:
-        return docs
-    shipped = spark.sparkContext.broadcast(prefix_index(rows, prefix, shingle_frequencies(docs, shingles_of(rows, prefix))))
-    return docs.mapInArrow(lambda b: _clean(b, shipped.value), docs.schema)
-
-
-def _clean(batches: Iterator[pa.RecordBatch], index: list[dict]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = np.ones(batch.num_rows, dtype=bool)
-        for a, _, raw, offsets in K.chunks(batch.column("text")):
-            hashed, start, end, at = K.words(raw, offsets, K.ALNUM)
-            for row, _, _, _ in matches(index, K.LOWER[raw].tobytes(), hashed, start, end, at):
-                keep[a + row] = False
-        yield batch.filter(pa.array(keep))
-
-
-def _in_rounds(docs: DataFrame, found: DataFrame, prefix: int, rounds: int) -> DataFrame:
-    """The same for a benchmark over the bound and numbered rows: windows are dealt to rounds by hash and the rounds' results are merged by row."""
-    parts = None
-    for k in range(rounds):
-        rows = [(bytes(r["window"]), list(r["items"])) for r in found.where(F.pmod(F.xxhash64("window"), F.lit(rounds)) == k).collect()]
-        got = _searched(docs, rows, prefix, ROW)
-        parts = got if parts is None else parts.unionByName(got)
-    spans = F.zip_with("hit_starts", "hit_ends", lambda s, e: F.struct(s.alias("s"), e.alias("e")))
-    out = parts.groupBy(ROW).agg(
-        F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_list(spans)).alias("runs"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    touches = lambda acc, r: (F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= r["s"])
-    joined = lambda acc, r: F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], r["e"]).alias("e"))
-    out = out.withColumn(
-        "runs",
-        F.aggregate(
-            F.array_sort("runs"),
-            F.expr("cast(array() as array<struct<s: bigint, e: bigint>>)"),
-            lambda acc, r: F.when(touches(acc, r), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined(acc, r)))).otherwise(F.concat(acc, F.array(r))),
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, prefix: int = PREFIX_WORDS) -> DataFrame:
+    """A row per document: its words, hit words, the items whose windows occur in it, and the runs of hit words."""
+    rows, key = row_key(docs, "documents")
+    prefixes = prefix_tokens(rows, benchmark, size, prefix)
+    places = stored(candidates(rows, key, prefixes, size), "places")
+    hits = stored(occurrences(places, prefixes), "hits")
+    end = F.col("first") + F.col("n")
+    before = Window.partitionBy("key").orderBy("first", "n").rowsBetween(Window.unboundedPreceding, -1)
+    spans = hits.select("key", "first", end.alias("end")).distinct().withColumn("n", F.col("end") - F.col("first"))
+    opened = spans.withColumn("opens", F.coalesce(F.col("first") > F.max("end").over(before), F.lit(True)).cast("int"))
+    runs = opened.withColumn("run", F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, 0))).groupBy("key", "run").agg(F.min("first").alias("s"), F.max("end").alias("e"))
+    of_row = runs.groupBy("key").agg(F.sum(F.col("e") - F.col("s")).alias("n_hit"), F.sort_array(F.collect_list(F.struct("s", "e"))).alias("runs"))
+    items = hits.select("key", F.explode("items").alias("item")).distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    none = F.array().cast("array<string>")
+    every = places.where("token is null").select("key", "n_words").join(of_row.join(items, "key"), "key", "left").withColumn("items", F.coalesce("items", none))
+    named = every.withColumnRenamed("key", "doc_id") if key == "doc_id" else every.join(rows.select(F.col(ROW).alias("key"), F.col("doc_id").cast("long").alias("doc_id")), "key")
+    out = stored(
+        named.select(
+            "doc_id",
+            "n_words",
+            F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+            F.size("items").cast("long").alias("n_items"),
+            F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+            (F.size("items") > 0).alias("contaminated"),
+            "items",
+            F.coalesce(F.transform("runs", lambda r: r["s"]), F.array().cast("array<long>")).alias("hit_starts"),
+            F.coalesce(F.transform("runs", lambda r: r["e"]), F.array().cast("array<long>")).alias("hit_ends"),
         ),
+        "contamination",
     )
-    runs = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["e"] - r["s"])
-    return out.select(
-        ROW,
-        "n_words",
-        runs.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
-        (runs > 0).alias("contaminated"),
-        "items",
-        F.transform("runs", lambda r: r["s"]).alias("hit_starts"),
-        F.transform("runs", lambda r: r["e"]).alias("hit_ends"),
-    )
+    discard(prefixes, places, hits)
+    return out
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, prefix: int = PREFIX_WORDS) -> DataFrame:
+    """Rows of ``docs`` in which no window occurs; all columns stay."""
+    rows, key = row_key(docs, "documents")
+    prefixes = prefix_tokens(rows, benchmark, size, prefix)
+    bad = occurrences(candidates(rows, key, prefixes, size), prefixes).select(F.col("key").alias(key)).distinct()
+    return without(rows, key, bad).select(*(F.col(f"`{c}`") for c in docs.columns))

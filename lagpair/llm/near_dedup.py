@@ -4,22 +4,28 @@
    signature of ``SIGNATURE`` minhashes of 16 bits, its size and a 128-bit
    fingerprint. Documents with equal sets are one class from here on; the class
    is represented by its least doc_id.
-2. The first ``CHUNKS * WIDTH`` minhashes are split into chunks. Two signatures
-   that differ in at most ``CHUNKS * (ERRORS + 1) - 1`` minhashes agree, by
+2. The signature is split into ``CHUNKS`` chunks of ``WIDTH`` minhashes. Two
+   signatures that differ in at most ``MOST_DIFFERENT`` minhashes agree, by
    pigeonhole, in some chunk but for ``ERRORS`` of its minhashes. All places of
    the error are enumerated: each chunk gives a key for each minhash left out.
-   So every pair within that distance shares a key. A pair of similarity 0.8
-   exactly is missed only if all chunks have two errors or more, with a
-   probability of about 4e-8.
+   So every pair within that distance shares a key.
 3. Classes that share a key are compared by their whole signatures, bucket by
-   bucket; buckets over ``BLOCK`` rows in pairs of blocks. A bucket gives a
-   spanning forest of the pairs within ``MOST_DIFFERENT`` (a similarity of 0.8
-   lies beyond with a probability of about 3e-7), never the pairs themselves.
-   Its components are the candidate groups.
+   bucket. A bucket gives a spanning forest of the pairs within
+   ``MOST_DIFFERENT``, never the pairs themselves. A pair of similarity 0.8 lies
+   beyond with a probability of about 1e-7. The forests' components are the
+   candidate groups.
 4. Candidate groups get their texts; links are decided on full shingle sets,
-   for all pairs of a group (groups over ``GROUP`` documents or
-   ``GROUP_SHINGLES`` shingles in pairs of blocks), and a
-   spanning forest of the links is emitted. Its components are the result.
+   and a spanning forest of the links is emitted. Its components are the result.
+
+Buckets over ``BLOCK`` rows and groups over ``GROUP`` documents or
+``GROUP_SHINGLES`` shingles are dealt to blocks (:func:`linked`). Each block is
+compared in itself and with one pivot of the whole, so members that are linked
+with the pivot are sent once. Only the others are then compared with every block.
+
+Documents' texts move only where they may be in a candidate group: ids that a
+bitmap of fixed size (:func:`lagpair.llm.common.marks`) rules out stay where
+they are. A class is dealt to ``SALTS`` parts, so copies of one text never
+meet in one task.
 
 Edge cases: a text of fewer words than a shingle, but not none, has its whole
 sequence as its one shingle. A null or empty text, or one without a word, is
@@ -31,7 +37,7 @@ and text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +45,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagpair.llm import textkit as K
-from lagpair.llm.common import discard, small_batches, stored, text_rows
+from lagpair.llm.common import ROW, discard, marked, marks, row_key, small_batches, stored, text_rows, without
 from lagpair.llm.components import components
 
 SIGNATURE = 64
-CHUNKS, WIDTH, ERRORS = 10, 4, 1
-MOST_DIFFERENT = 30
+CHUNKS, WIDTH, ERRORS = 16, 4, 1
+#: The distance that the keys guarantee, which is also the one that a bucket's pairs must be within.
+MOST_DIFFERENT = CHUNKS * (ERRORS + 1) - 1
 #: Rows of a bucket, and documents of a candidate group, that one comparison holds.
 BLOCK, GROUP = 2048, 1024
+#: Parts of a class.
+SALTS = 1024
 #: Shingles of a candidate group that one comparison holds.
 GROUP_SHINGLES = 4_000_000
 #: Bits of the set matrix that a group's comparison holds at a time.
@@ -154,63 +163,102 @@ def roots(linked: np.ndarray) -> np.ndarray:
     return root
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table, bounds in runs(batches, "key", "p", "q"):
+#: What a comparison of units gives: links (a, b), and members of a block that are not linked with its pivot (a, and a null b).
+FOUND = "unit long, a long, b long"
+
+
+def _found(unit: list[int], a: list[int], b: list[int | None]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (unit, a, b)], names=["unit", "a", "b"])
+
+
+def _spanned(linked: np.ndarray, node: np.ndarray, pivot: int | None) -> tuple[list[tuple[int, int]], list[int]]:
+    """A spanning forest of a unit's links, and the nodes that have no path to the pivot, if there is one."""
+    root = roots(linked)
+    edges = [(int(node[r]), int(node[k])) for k, r in enumerate(root.tolist()) if r != k]
+    if pivot is None:
+        return edges, []
+    return edges, node[root != root[np.flatnonzero(node == pivot)[0]]].tolist()
+
+
+def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table, bounds in runs(batches, "unit", "p", "q"):
         node, size = table.column("node").to_numpy(), table.column("n_shingles").to_numpy()
+        unit, pivot = table.column("unit").to_numpy(), table.column("pivot").take(pa.array(bounds[:-1])).to_pylist()
         minhashes = _matrix(table.column("signature").combine_chunks())
         widths = np.diff(bounds)
-        edges = []
-        for width in np.unique(widths).tolist():
-            if width < 2:
-                continue
-            first = bounds[:-1][widths == width]
-            if width <= 4:  # all such buckets at once: no more than six pairs each
-                i, j = np.triu_indices(width, 1)
-                a, b = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
-                near = (5 * np.minimum(size[a], size[b]) >= 4 * np.maximum(size[a], size[b])) & ((minhashes[a] != minhashes[b]).sum(axis=1) <= MOST_DIFFERENT)
-                edges.append(np.stack([node[a[near]], node[b[near]]], axis=1))
-                continue
-            for s in first.tolist():
-                e = s + width
-                linked = np.zeros((width, width), dtype=bool)
-                block, sizes = minhashes[s:e], size[s:e]
-                step = max(1, (1 << 22) // (width * SIGNATURE))
-                for r in range(0, width, step):
-                    linked[r : r + step] = (block[r : r + step, None, :] != block[None, :, :]).sum(axis=2) <= MOST_DIFFERENT
-                linked &= 5 * np.minimum(sizes[:, None], sizes) >= 4 * np.maximum(sizes[:, None], sizes)
-                root = roots(linked)
-                child = np.flatnonzero(root != np.arange(width))
-                edges.append(np.stack([node[s + root[child]], node[s + child]], axis=1))
-        found = np.unique(np.concatenate(edges), axis=0) if edges else np.zeros((0, 2), np.int64)
+        whole = np.array([x is None for x in pivot], dtype=bool)
+        edges: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+        for width in (2, 3, 4):  # all such buckets at once: no more than six pairs each
+            first = bounds[:-1][(widths == width) & whole]
+            i, j = np.triu_indices(width, 1)
+            a, b = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+            near = (5 * np.minimum(size[a], size[b]) >= 4 * np.maximum(size[a], size[b])) & ((minhashes[a] != minhashes[b]).sum(axis=1) <= MOST_DIFFERENT)
+            edges.append(np.stack([node[a[near]], node[b[near]]], axis=1))
+        left: list[tuple[int, int]] = []
+        for k in np.flatnonzero((widths > 4) | ~whole).tolist():
+            s, e = int(bounds[k]), int(bounds[k + 1])
+            width, block, sizes = e - s, minhashes[s:e], size[s:e]
+            near = np.zeros((width, width), dtype=bool)
+            step = max(1, (1 << 22) // (width * SIGNATURE))
+            for r in range(0, width, step):
+                near[r : r + step] = (block[r : r + step, None, :] != block[None, :, :]).sum(axis=2) <= MOST_DIFFERENT
+            near &= 5 * np.minimum(sizes[:, None], sizes) >= 4 * np.maximum(sizes[:, None], sizes)
+            forest, alone = _spanned(near, node[s:e], pivot[k])
+            edges.append(np.array(forest, np.int64).reshape(-1, 2))
+            left += [(int(unit[s]), n) for n in alone]
+        found = np.unique(np.concatenate(edges), axis=0)
         found = found[found[:, 0] != found[:, 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+        yield _found([0] * len(found) + [u for u, _ in left], found[:, 0].tolist() + [n for _, n in left], found[:, 1].tolist() + [None] * len(left))
 
 
-def dealt(rows: DataFrame, blocks: Column, spread: str) -> DataFrame:
-    """Rows of a group of several ``blocks`` are dealt to them and go to each pair of blocks (p, q) that has theirs; others stay together."""
-    keyed = rows.withColumn("_blocks", blocks.cast("int"))
-    own = F.pmod(F.xxhash64(spread), F.col("_blocks")).cast("int")
-    whole = keyed.where("_blocks = 1").select(*rows.columns, F.lit(0).alias("p"), F.lit(0).alias("q"))
-    split = keyed.where("_blocks > 1").select(*rows.columns, own.alias("_own"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-    pairs = split.select(*rows.columns, F.least("_own", "_other").alias("p"), F.greatest("_own", "_other").alias("q"))
-    return whole.unionByName(pairs)
+def blocks_of(size: Column, most: int) -> Column:
+    """One block up to ``most``, beyond it as many as halves of that are needed: two blocks then hold about ``most``."""
+    return F.when(size <= most, 1).otherwise(F.ceil(size / F.lit(most / 2))).cast("int")
 
 
-def blocks_of(size: Column, most: int) -> Column:
-    """One block up to ``most``, beyond it as many as halves of that are needed: a pair of blocks then holds about ``most``."""
-    return F.when(size <= most, 1).otherwise(F.ceil(size / F.lit(most / 2)))
+def linked(members: DataFrame, compare: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], half: int, name: str) -> DataFrame:
+    """Links (a, b) that connect whatever pairs of a unit's members ``compare`` links, stored.
+
+    ``members`` has unit, node, pivot (a node of the unit), blocks and what ``compare`` reads. A unit of one block is compared
+    at once. Members of a unit of several are dealt to its blocks and compared within their block and with the pivot. Members
+    that are not linked with the pivot there, dealt ``half`` at a time, are then compared with every block.
+    """
+    payload = [c for c in members.columns if c not in ("unit", "node", "pivot", "blocks")]
+    columns = ["unit", "p", "q", "pivot", "node", *payload]
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    none, zero = F.lit(None).cast("long"), F.lit(0)
+    whole = members.where("blocks = 1").select("unit", zero.alias("p"), zero.alias("q"), none.alias("pivot"), "node", *payload)
+    split = members.where("blocks > 1")
+    dealt = split.where("node <> pivot").select("unit", own.alias("p"), zero.alias("q"), "pivot", "node", *payload)
+    pivots = split.where("node = pivot").select("unit", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("p"), zero.alias("q"), "pivot", "node", *payload)
+
+    def compared(units: DataFrame) -> DataFrame:
+        dealt_out = units.select(*columns).repartition("unit", "p", "q").sortWithinPartitions("unit", "p", "q", "node")
+        return dealt_out.mapInArrow(compare, FOUND)
+
+    first = stored(compared(whole.unionByName(dealt).unionByName(pivots)), name)
+    left = first.where("b is null").select("unit", F.col("a").alias("node")).distinct()
+    if left.isEmpty():
+        return first
+    parts = left.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / F.lit(half)).cast("int").alias("parts"))
+    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("p")
+    rest = left.join(parts, "unit").join(split, ["unit", "node"]).select("unit", mine, F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("q"), none.alias("pivot"), "node", *payload)
+    others = split.join(parts, "unit").join(left, ["unit", "node"], "left_anti").select("unit", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("p"), own.alias("q"), none.alias("pivot"), "node", *payload)
+    mixed = left.join(parts, "unit").join(split, ["unit", "node"]).select("unit", mine.alias("_mine"), own.alias("q"), "parts", "node", *payload)
+    crossed = mixed.select("unit", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("p"), "q", none.alias("pivot"), "node", *payload, "_mine").where("p <> _mine").drop("_mine")
+    second = stored(compared(rest.unionByName(others).unionByName(crossed)), name)
+    return first.unionByName(second)
 
 
 def candidate_groups(classes: DataFrame) -> DataFrame:
     """(node, root) of the classes that may have a link; ``classes`` has node, n_shingles, signature."""
     small_batches(classes.sparkSession)
     keyed = classes.select("node", "signature").mapInArrow(_keys, "key long, node long")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    shared = stored(shared, "shared-keys")
-    members = keyed.join(shared, "key")
-    signed = members.join(classes.select("node", "n_shingles", "signature"), "node").select("key", "copies", "node", "n_shingles", "signature")
-    units = dealt(signed, blocks_of(F.col("copies"), BLOCK), "node").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
-    out = components(units.select("key", "p", "q", "node", "n_shingles", "signature").mapInArrow(_forest, "a long, b long"))
+    shared = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("node").alias("pivot")).where("copies > 1"), "shared-keys")
+    members = keyed.join(shared, "key").join(classes.select("node", "n_shingles", "signature"), "node")
+    units = members.select(F.col("key").alias("unit"), "node", "pivot", blocks_of(F.col("copies"), BLOCK).alias("blocks"), "n_shingles", "signature")
+    found = linked(units, _bucket_links, BLOCK // 2, "bucket-links")
+    out = components(found.where("b is not null").select("a", "b"))
     discard(shared)
     return out
 
@@ -243,10 +291,10 @@ def links(sets: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
     return (100 * inter >= percent * (sizes[:, None] + sizes - inter)) & (sizes[:, None] > 0) & (sizes > 0)
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
-    for table, bounds in runs(batches, "root", "p", "q"):
+def _text_links(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
+    for table, bounds in runs(batches, "unit", "p", "q"):
         node, text = table.column("node").to_numpy(), table.column("text").combine_chunks()
-        edges: list[tuple[int, int]] = []
+        unit, pivot = table.column("unit").to_numpy(), table.column("pivot").take(pa.array(bounds[:-1])).to_pylist()
         parts, at = [], [0]
         for _, _, raw, offsets in K.chunks(text):
             hashed, _, _, words_at = K.words(raw, offsets)
@@ -254,26 +302,27 @@ def _confirmed(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) ->
             parts.append(sets)
             at += (ends[1:] + at[-1]).tolist()
         everything, at = np.concatenate(parts), np.array(at)
-        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        edges: list[tuple[int, int]] = []
+        left: list[tuple[int, int]] = []
+        for s, e, hub in zip(bounds[:-1].tolist(), bounds[1:].tolist(), pivot):
             if e - s < 2:
                 continue
-            root = roots(links(everything[at[s] : at[e]], at[s : e + 1] - at[s], percent))
-            edges += [(int(node[s + r]), int(node[s + k])) for k, r in enumerate(root.tolist()) if r != k]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in edges], pa.int64()), pa.array([y for _, y in edges], pa.int64())], names=["a", "b"])
+            forest, alone = _spanned(links(everything[at[s] : at[e]], at[s : e + 1] - at[s], percent), node[s:e], hub)
+            edges += forest
+            left += [(int(unit[s]), n) for n in alone]
+        yield _found([0] * len(edges) + [u for u, _ in left], [a for a, _ in edges] + [n for _, n in left], [b for _, b in edges] + [None] * len(left))
 
 
 def confirmed_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """A spanning forest (a, b) of the links within candidate groups, decided on the full sets of the nodes' texts.
-
-    Groups with too many documents, or too many shingles in all, are dealt to blocks.
-    """
+    """Links (a, b) that connect the classes of a candidate group as all links of their full sets do."""
     every = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).join(classes.select("node", "n_shingles"), "node")
     sizes = stored(every.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("weight")), "group-sizes")
     blocks = F.greatest(blocks_of(F.col("members"), GROUP), blocks_of(F.col("weight"), GROUP_SHINGLES))
-    placed = dealt(every.select("node", "root").join(sizes, "root"), blocks, "node").select("node", "root", "p", "q")
-    texts = text_rows(docs, "doc_id", "text").withColumnRenamed("doc_id", "node").join(placed, "node")
-    units = texts.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", "node")
-    return units.select("root", "p", "q", "node", "text").mapInArrow(lambda b: _confirmed(b, shingle, percent), "a long, b long")
+    placed = stored(every.select("node", "root").join(sizes, "root").select(F.col("root").alias("unit"), "node", F.col("root").alias("pivot"), blocks.alias("blocks")), "placed")
+    texts, _ = marked(text_rows(docs, "doc_id", "text").withColumnRenamed("doc_id", "node"), "node", marks(placed, "node"))
+    found = linked(texts.join(placed, "node"), lambda b: _text_links(b, shingle, percent), GROUP // 2, "text-links")
+    discard(sizes)
+    return found.where("b is not null").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -281,34 +330,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     if percent < 80:
         raise ValueError("keys, distances and the size filter find links of 80 percent and more alone")
     small_batches(docs.sparkSession)
-    sketch = stored(sketches(docs, shingle), "sketches")
+    sketch = stored(sketches(docs, shingle).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "sketches")
+    prints = ["fp1", "fp2"]
     linkable = sketch.where("n_shingles > 0 and doc_id is not null")
-    least = linkable.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"))
-    rep = least.select("fp1", "fp2", F.col("node").alias("doc_id"))
-    classes = stored(linkable.join(rep, ["fp1", "fp2", "doc_id"]).dropDuplicates(["fp1", "fp2", "doc_id"]).select(F.col("doc_id").alias("node"), "n_shingles", "signature"), "classes")
-    groups = candidate_groups(classes)
-    edges = confirmed_links(docs, classes, groups, shingle, percent)
-    member = stored(linkable.select("doc_id", "fp1", "fp2").join(stored(least, "class-ids"), ["fp1", "fp2"]).select("doc_id", "fp1", "fp2", "node"), "members")
-    repeated = stored(linkable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
-    edges = edges.unionByName(member.join(repeated, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    found = components(edges)
-    final = member.select("doc_id", "fp1", "fp2", "node").join(found, "node", "left").select("doc_id", "fp1", "fp2", F.coalesce("root", "node").alias("root")).distinct()
-    return (
-        sketch.select("doc_id", "n_shingles", "fp1", "fp2")
-        .join(final, ["doc_id", "fp1", "fp2"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-    )
+    parts = stored(linkable.groupBy(*prints, "salt").agg(F.min("doc_id").alias("least")), "class-parts")
+    least = stored(parts.groupBy(*prints).agg(F.min("least").alias("node")), "class-ids")
+    owners = linkable.join(least.withColumnRenamed("node", "doc_id"), [*prints, "doc_id"]).dropDuplicates([*prints, "doc_id"])
+    classes = stored(owners.select(F.col("doc_id").alias("node"), "n_shingles", "signature"), "classes")
+    edges = confirmed_links(docs, classes, candidate_groups(classes), shingle, percent)
+    repeated = linkable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    same_id = linkable.join(repeated, "doc_id").select("doc_id", *prints).distinct().join(least, prints).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    found = components(edges.unionByName(same_id))
+    rooted = least.join(found, "node", "left").select(*prints, F.coalesce("root", "node").alias("root"))
+    placed = parts.join(rooted, prints).select(*prints, "salt", "root")
+    of_class = linkable.join(placed, [*prints, "salt"]).select("doc_id", "n_shingles", F.col("root").alias("component_id"))
+    alone = sketch.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = stored(of_class.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), "near-duplicates")
+    discard(sketch, parts, least, classes)
+    return out
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, the one with the least doc_id; all columns stay.
+    """``docs`` with one row of each group of near duplicates; all columns stay.
 
-    Rows without a doc_id stay. Of rows that repeat a doc_id one stays.
+    The row with the least doc_id stays. Where ids are null or repeat, rows are told apart by a number of their own, and of
+    rows of equal ids the one that was numbered first stays; a row without an id stays only if no row of its group has one.
     """
-    found = stored(near_duplicates(docs, shingle, percent), "near-duplicates")
-    gone = found.where("not kept and doc_id is not null").select("doc_id")
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out
-    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    rows, key = row_key(docs, "documents")
+    if key == "doc_id":
+        return without(docs, key, near_duplicates(docs, shingle, percent).where("not kept").select(key))
+    found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), shingle, percent).select(F.col("doc_id").alias(ROW), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", ROW)
+    placed = rows.select(ROW, "doc_id").join(found, ROW)
+    first = placed.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return without(rows, ROW, placed.select(ROW).join(first, ROW, "left_anti")).select(*(F.col(f"`{c}`") for c in docs.columns))

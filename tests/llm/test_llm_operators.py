@@ -71,13 +71,17 @@ def test_near_duplicates_against_brute_force(spark, documents, seed):
     assert got == brute_components(rows, 4)
 
 
-@pytest.mark.parametrize("by,most", [("GROUP", 6), ("GROUP_SHINGLES", 900)])
+@pytest.mark.parametrize("by,most", [("GROUP", 6), ("GROUP_SHINGLES", 900), ("GROUP", 16)])
 def test_near_duplicates_in_blocks(spark, documents, monkeypatch, by, most):
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
     monkeypatch.setattr(near_dedup, by, most)
     rng = random.Random(7)
     base = [f"b{k}" for k in range(100)]
     rows = [(k, edited(rng, base, rng.randrange(0, 9))) for k in range(70)]
+    chain = list(base)
+    for k in range(30):  # a chain that leads away from the group's least document: most are not linked with the pivot
+        chain = chain[2:] + [f"n{k}a", f"n{k}b"]
+        rows.append((100 + k, " ".join(chain)))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(documents(rows), 4).collect()}
     assert got == brute_components(rows, 4)
 
@@ -89,7 +93,25 @@ def test_near_duplicates_edge_rows(spark, documents):
     assert got == sorted([(5, 3, False), (3, 3, True), (3, 3, True), (8, 3, False), (None, None, False), (9, 9, True), (9, 9, True)], key=repr)
     assert near_dedup.near_duplicates(documents([]), 4).count() == 0
     kept = near_dedup.keep_one(documents(rows), 4)
-    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == [(False, 3), (False, 9), (True, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(3, a), (3, b), (9, None), (9, "")], key=repr)
+    unique = [(5, a), (3, a), (8, b), (9, None), (10, "")]
+    assert sorted(r["doc_id"] for r in near_dedup.keep_one(documents(unique), 4).collect()) == [3, 8, 9, 10]
+    nulls = near_dedup.keep_one(documents([(None, a), (None, a), (None, b), (1, b), (None, None)]), 4).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in nulls), key=repr) == sorted([(None, a), (1, b), (None, None)], key=repr)
+    assert near_dedup.keep_one(documents([]), 4).count() == 0
+
+
+def test_ids_that_marks_rule_out_are_not_in_the_table(spark, monkeypatch):
+    from lagpair.llm import common
+
+    rows = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    wanted = rows.where("doc_id % 7 = 0").select("doc_id")
+    for words in (1 << 19, 4, 1):  # with few words most ids may be in the table
+        monkeypatch.setattr(common, "MARK_WORDS", words)
+        maybe, clear = common.marked(rows, "doc_id", common.marks(wanted, "doc_id"))
+        inside, outside = {r["doc_id"] for r in maybe.collect()}, {r["doc_id"] for r in clear.collect()}
+        assert {r["doc_id"] for r in wanted.collect()} <= inside and not inside & outside and len(inside) + len(outside) == 1000
+        assert words < 1000 or len(inside) < 150
 
 
 def test_every_pair_within_the_distance_shares_a_key():
@@ -149,7 +171,7 @@ def test_counts_of_each_tokenizer(spark, documents):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts = [None, "", " a  b\n", "x-y z9", "é日 ü", "\x1f\x0b", "it's"]
-    out = token_counts.counted(documents(list(enumerate(texts)), extra=True), {**token_counts.TOKENIZERS, "bpe@1": token_counts.Bpe(path, True)})
+    out = token_counts.counted(documents(list(enumerate(texts)), extra=True), {**token_counts.WORD_COUNTERS, "bpe@1": token_counts.Bpe(path, True)})
     tokenizer = Tokenizer.from_file(path)
     want = [(len(re.findall("[^\x20\x09-\x0d]+", t or "")), len(re.findall("[0-9A-Za-z\x80-\U0010ffff]+", t or "")), len(tokenizer.encode(t or "").ids)) for t in texts]
     assert sorted(tuple(r)[2:] for r in out.collect()) == sorted(want)
@@ -356,18 +378,19 @@ def brute_hits(texts, items, size=10):
     return out
 
 
-@pytest.mark.parametrize("bound", [decontaminate.MAX_BROADCAST, 5])
-def test_contamination_against_brute_force(spark, documents, bound):
+@pytest.mark.parametrize("bits", [decontaminate.MARK_BITS, 1])
+def test_contamination_against_brute_force(spark, documents, monkeypatch, bits):
+    monkeypatch.setattr(decontaminate, "MARK_BITS", bits)  # with a small bitmap nearly every place goes to the join
     rng = random.Random(11)
     word = lambda: rng.choice(["a", "B", "c3", "é", "x", "y"])
     items = [(k, " ".join(word() for _ in range(rng.choice([1, 2, 5, 10, 11, 14])))) for k in range(12)] + [(50, None), (51, "..."), (None, "a"), (10, "zz zz zz")]
     texts = [(k, rng.choice([" ", "-", "_"]).join(word() for _ in range(rng.randint(0, 60)))) for k in range(120)] + [(500, None), (501, ""), (502, "ZZ zz  zz, zz"), (503, "zz zz"), (504, f"{items[3][1]} end")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("window", F.lit(1))
-    out = decontaminate.contamination(documents(texts), bench, max_broadcast=bound)
+    out = decontaminate.contamination(documents(texts), bench)
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in out.collect()}
     want = brute_hits(texts, items)
     assert got == want
-    clean = decontaminate.drop_contaminated(documents(texts), bench, max_broadcast=bound)
+    clean = decontaminate.drop_contaminated(documents(texts), bench)
     assert {r["doc_id"] for r in clean.collect()} == {d for d, r in want.items() if not r[4]}
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: what a session name begins with.
 NAME_PATTERN = r"^(\d+)_(\d{4})_(\d{2})_(\d{2})"
+#: What a session name begins with, as one piece.
+WHOLE_PATTERN = r"^\d+_\d{4}_\d{2}_\d{2}"
 MODES = ("permissive", "strict")
 
 
@@ -15,6 +17,21 @@ def name_part(name: Column, group: int) -> Column:
     return F.nullif(F.regexp_extract(name, NAME_PATTERN, group), F.lit(""))
 
 
+def name_head(name: Column) -> Column:
+    """The part of a name that the pattern covers; empty if it is not of the pattern. One match gives all four parts."""
+    return F.regexp_extract(name, WHOLE_PATTERN, 0)
+
+
+def head_id(head: Column) -> Column:
+    return F.nullif(F.substring_index(head, "_", 1), F.lit(""))
+
+
+def head_date(head: Column, mode: str = "permissive") -> Column:
+    """The date at the end of a head of :func:`name_head`; an impossible one is null, or an error in strict mode."""
+    text = F.nullif(F.translate(F.right(head, F.lit(10)), "_", "-"), F.lit(""))
+    return text.cast("date") if _strict(mode) else text.try_cast("date")
+
+
 def split_part(name: Column, place: int, mode: str = "permissive") -> Column:
     """The place-th part (from 0) between underscores as an int: null, or in strict mode an error, if it is none."""
     part = F.get(F.split(name, "_"), F.lit(place))

@@ -63,22 +63,52 @@ class AttentivePool:
 
         @F.pandas_udf("array<double>")
         def pool(column: pd.Series) -> pd.Series:
-            out = [None] * len(column)
-            known = [i for i, x in enumerate(column) if x is not None and len(x) and len(x) % model.input_dim == 0]
-            sizes: dict[int, list[int]] = {}
-            for i in known:
-                sizes.setdefault(len(column.iloc[i]), []).append(i)
-            for size, rows in sizes.items():
-                for s in range(0, len(rows), ROWS):
-                    part = rows[s : s + ROWS]
-                    x = np.stack([np.asarray(column.iloc[i], dtype=np.float64) for i in part]).reshape(len(part), size // model.input_dim, model.input_dim)
-                    for i, v in zip(part, model(x)):
-                        out[i] = v
+            rows = column.to_numpy()
+            sizes = np.array([0 if x is None else len(x) for x in rows], dtype=np.int64)
+            out = np.full(len(rows), None, dtype=object)
+            for size in np.unique(sizes[(sizes > 0) & (sizes % model.input_dim == 0)]).tolist():
+                mine = np.flatnonzero(sizes == size)
+                for s in range(0, len(mine), ROWS):
+                    part = mine[s : s + ROWS]
+                    x = np.stack(rows[part]).astype(np.float64).reshape(len(part), size // model.input_dim, model.input_dim)
+                    out[part] = list(model(x))
             return pd.Series(out)
 
         return pool(flat)
 
 
-def mlp_head(x: np.ndarray, hidden: np.ndarray, hidden_b: np.ndarray, out: np.ndarray, out_b: np.ndarray) -> np.ndarray:
-    """The MLP head: twice as many hidden units as inputs, GELU between."""
-    return gelu(x @ hidden.T + hidden_b) @ out.T + out_b
+@dataclass(frozen=True)
+class MlpHead:
+    """The MLP head: twice as many hidden units as inputs, GELU between (inference: no dropout)."""
+
+    hidden: np.ndarray
+    hidden_b: np.ndarray
+    out: np.ndarray
+    out_b: np.ndarray
+
+    @classmethod
+    def fixed(cls, dim: int, classes: int = 2) -> MlpHead:
+        """Weights by formula, for checks."""
+        weight = lambda a, b: (np.arange(a * b).reshape(a, b) * 37 % 101 - 50) / (50 * np.sqrt(b))
+        bias = lambda n: (np.arange(n) * 13 % 7 - 3) / 100
+        return cls(weight(2 * dim, dim), bias(2 * dim), weight(classes, 2 * dim), bias(classes))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """(rows, inputs) to (rows, classes)."""
+        return gelu(x @ self.hidden.T + self.hidden_b) @ self.out.T + self.out_b
+
+    def logits(self, x: Column) -> Column:
+        """Logits of a column of vectors; a null, or a vector of another length, has none."""
+        head = self
+
+        @F.pandas_udf("array<double>")
+        def apply(column: pd.Series) -> pd.Series:
+            rows = column.to_numpy()
+            out = np.full(len(rows), None, dtype=object)
+            fit = np.array([v is not None and len(v) == head.hidden.shape[1] for v in rows], dtype=bool)
+            for s in range(0, int(fit.sum()), ROWS):
+                part = np.flatnonzero(fit)[s : s + ROWS]
+                out[part] = list(head(np.stack(rows[part]).astype(np.float64)))
+            return pd.Series(out)
+
+        return apply(x)

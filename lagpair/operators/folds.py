@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagpair.operators.ranking import ranked, sized, tile
+from lagpair.operators.ranking import ranked, tile
 
 
 def shuffled_ids(rows: DataFrame, seed: int) -> DataFrame:
     """Distinct ids with their rank in an order that the seed fixes, and their number."""
     ids = rows.select("id").where("id is not null").distinct().withColumn("_key", F.md5(F.concat_ws("|", F.lit(str(seed)), "id")))
-    return sized(ranked(ids, ["_key", "id"], F.substring("_key", 1, 3)).select("id", "rank"))
+    return ranked(ids, ["_key", "id"], size="total").select("id", "rank", "total")
 
 
 def fold_map(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:

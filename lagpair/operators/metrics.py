@@ -13,7 +13,7 @@ def accuracy(pred: str, label: str) -> Column:
 def auroc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """(auc, one_class): exact area under the ROC curve, ties counting half; 0 with a flag if a class is missing.
 
-    Rows are first counted by score. Negatives below a score are found within ranges of scores: the sums of a thousand
+    Rows are first counted by score. Negatives below a score are found within ranges of scores: the sums of 256
     ranges, whose bounds are quantiles, are cumulated, so that no task sorts all the scores.
     """
     by_score = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(

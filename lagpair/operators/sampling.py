@@ -12,7 +12,8 @@ PAIR = ("id", "before", "after")
 
 
 def day(column: str) -> Column:
-    return F.date_format(column, "yyyy-MM-dd")
+    """A date as text, year first."""
+    return F.col(column).cast("string")
 
 
 def pair_hash(side: str, seed: int, epoch: int | None) -> Column:
@@ -39,13 +40,16 @@ def examples(pairs: DataFrame, index: DataFrame, n_draws: int = 5, seed: int = 4
     """Each draw of each valid pair: i0 of the before date, i1 of the after date, and the label.
 
     An instance is drawn by its number on its date. ``index`` has (id, d, idx, k, n) of every instance; only numbers and keys
-    are joined, vectors come later.
+    are joined, vectors come later. Pairs that bring n_before and n_after, the dates' numbers of instances, are not joined for
+    them.
     """
-    counts = index.where("k = 0").select("id", "d", "n")
-    rows = expand(pairs.select(*PAIR), n_draws)
+    rows = pairs
+    for side in ("before", "after"):
+        if f"n_{side}" not in rows.columns:
+            rows = rows.join(index.where("k = 0").select("id", F.col("d").alias(side), F.col("n").alias(f"n_{side}")), ["id", side])
+    rows = expand(rows.select(*PAIR, "n_before", "n_after"), n_draws)
     for side, name in (("before", "i0"), ("after", "i1")):
-        sized = rows.join(counts.withColumnRenamed("d", side), ["id", side])
-        drawn = sized.withColumn("k", pair_hash(name, seed, epoch) % F.col("n")).drop("n")
+        drawn = rows.withColumn("k", pair_hash(name, seed, epoch) % F.col(f"n_{side}"))
         rows = drawn.join(index.select("id", F.col("d").alias(side), "k", F.col("idx").alias(name)), ["id", side, "k"]).drop("k")
     return labelled(rows, seed, epoch).select(*PAIR, "draw", "i0", "i1", "label")
 
@@ -58,7 +62,7 @@ def ordered(drawn: DataFrame) -> DataFrame:
 
 def numbered(pairs: DataFrame) -> DataFrame:
     """Pairs with their place, from 0, in the order of id and dates."""
-    return ranked(pairs.select(*PAIR), list(PAIR), F.substring("id", 1, 2), name="pair_idx")
+    return ranked(pairs.select(*PAIR), list(PAIR), name="pair_idx")
 
 
 def pair_of(global_idx: Column, n_draws: int) -> Column:
@@ -68,7 +72,7 @@ def pair_of(global_idx: Column, n_draws: int) -> Column:
 
 def batches(drawn: DataFrame, size: int = 32) -> DataFrame:
     """Adds batch_id, from 0, in the order of id, dates and draw; the last batch may be smaller."""
-    return ranked(drawn, [*PAIR, "draw"], F.substring("id", 1, 2)).withColumn("batch_id", F.floor(F.col("rank") / size).cast("long")).drop("rank")
+    return ranked(drawn, [*PAIR, "draw"]).withColumn("batch_id", F.floor(F.col("rank") / size).cast("long")).drop("rank")
 
 
 def with_vectors(drawn: DataFrame, embeddings: DataFrame, first: str = "i0", second: str = "i1") -> DataFrame:
@@ -90,6 +94,23 @@ def epoch_order(rows: DataFrame, key: list[str], seed: int, epoch: int) -> DataF
     return rows.orderBy(draw(str(seed), str(epoch), *(F.col(k).cast("string") for k in key)), *key)
 
 
+def epoch_ranks(rows: DataFrame, key: list[str], seed: int, epoch: int) -> DataFrame:
+    """Rows with their place, from 0, in the order of :func:`epoch_order`."""
+    keyed = rows.withColumn("_draw", draw(str(seed), str(epoch), *(F.col(k).cast("string") for k in key)))
+    return ranked(keyed, ["_draw", *key], name="place").drop("_draw")
+
+
+def train_test_batches(folded: DataFrame, index: DataFrame, test_fold: int, n_draws: int = 5, size: int = 32, seed: int = 42, epoch: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The loader as one call: (training examples, test examples), each with batch_id. ``folded`` has pairs with their fold,
+    ``index`` instances. Training examples are drawn and shuffled anew for every epoch; the test fold's are not. It is an error
+    if the test fold, or every other one, has no pair."""
+    from lagpair.operators.folds import split
+
+    train, test = split(folded, test_fold)
+    shuffled = epoch_ranks(examples(train, index, n_draws, seed, epoch), [*PAIR, "draw"], seed, epoch)
+    return shuffled.withColumn("batch_id", F.floor(F.col("place") / size).cast("long")).drop("place"), batches(examples(test, index, n_draws, seed), size)
+
+
 def group_ids(positions: DataFrame, size: int = 4, position: str = "pos") -> DataFrame:
     """The constructed group of a row, ``size`` rows each."""
     return positions.withColumn("group", F.floor(F.col(position) / size).cast("long"))

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 #: Samples that one row holds while it is smoothed, besides the margins.
 BLOCK = 512
@@ -24,7 +28,7 @@ def gaussian_smooth(rows: DataFrame, sigma: float = 10.0, truncate: float = 4.0,
     """Smooths ``v`` along ``t`` (0 to n - 1 in each signal); beyond its ends a signal is its mirror image.
 
     A sample goes to its block, and near a block's edge to the next one as well; near a signal's ends also at its mirrored
-    places. Each block is then one row of bounded size, whatever the signal's length.
+    places. Each block is then one row of bounded size, whatever the signal's length, and is convolved as an array.
     """
     kernel = gaussian_kernel(sigma, truncate)
     radius = len(kernel) // 2
@@ -38,13 +42,25 @@ def gaussian_smooth(rows: DataFrame, sigma: float = 10.0, truncate: float = 4.0,
     high = F.floor((F.col("_p") + radius) / F.lit(BLOCK))
     last = F.floor((F.col("_n") - 1) / F.lit(BLOCK))
     dealt = placed.select("*", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.least(high, last))).alias("_b"))
-    blocks = dealt.groupBy(*by, "_b").agg(F.max("_n").alias("_n"), F.transform(F.array_sort(F.collect_list(F.struct("_p", "v"))), lambda s: s["v"]).alias("_w"))
-    weights = F.array(*[F.lit(w) for w in kernel])
-    width = F.least(F.lit(BLOCK).cast("long"), F.col("_n") - F.col("_b") * BLOCK).cast("int")
-    smoothed = F.transform(
-        F.sequence(F.lit(1), width), lambda i: F.aggregate(F.zip_with(F.slice("_w", i, len(kernel)), weights, lambda x, w: x * w), F.lit(0.0), lambda acc, p: acc + p)
-    )
-    return blocks.select(*by, "_b", F.posexplode(smoothed).alias("_i", "v")).select(*by, (F.col("_b") * BLOCK + F.col("_i")).alias("t"), "v")
+    blocks = dealt.groupBy(*by, "_b").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "v"))), lambda s: s["v"]).alias("_w"))
+    schema = StructType([*(rows.schema[c] for c in by), StructField("t", LongType()), StructField("v", DoubleType())])
+    return blocks.select(*by, "_b", "_w").mapInArrow(lambda b: _convolved(b, np.array(kernel), by), schema)
+
+
+def _convolved(batches: Iterator[pa.RecordBatch], kernel: np.ndarray, by: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Blocks with margins to their samples; the kernel is symmetric."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        window = batch.column("_w")
+        values, sizes = window.flatten().to_numpy(zero_copy_only=False), window.value_lengths().to_numpy()
+        ends = np.cumsum(sizes)
+        smooth = [np.convolve(values[e - n : e], kernel, mode="valid") for e, n in zip(ends.tolist(), sizes.tolist())]
+        lengths = np.array([len(x) for x in smooth])
+        row = np.repeat(np.arange(batch.num_rows), lengths)
+        place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        t = batch.column("_b").to_numpy()[row] * BLOCK + place
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in by), pa.array(t), pa.array(np.concatenate(smooth))], names=[*by, "t", "v"])
 
 
 def minmax(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

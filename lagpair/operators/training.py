@@ -56,8 +56,8 @@ class AdamW:
             def gradient(batches):
                 total, loss, n = np.zeros(dim), 0.0, 0
                 for b in batches:
-                    x = np.column_stack([np.array(b.column("x").to_pylist()).reshape(b.num_rows, dim - 1), np.ones(b.num_rows)])
-                    y, z = b.column("y").to_numpy(), None
+                    x = np.column_stack([b.column("x").flatten().to_numpy().reshape(b.num_rows, dim - 1), np.ones(b.num_rows)])
+                    y = b.column("y").to_numpy()
                     z = x @ now
                     total += x.T @ (1 / (1 + np.exp(-z)) - y)
                     loss += float(np.sum(np.logaddexp(0, z) - y * z))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lagpair.functions.vectors import linear_head
 from lagpair.operators import pairs, sampling, signals
 from lagpair.operators.ranking import ranked
+from lagpair.sources.shared import stored
 
 SEED = 42
 FOLDS = 5
@@ -60,7 +61,8 @@ def event_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.instances(event_index(spark, sf_dir))
+    """Stored: both sides of an example, and the visits themselves, are read from it."""
+    return stored(pairs.instances(event_index(spark, sf_dir)), "instances")
 
 
 def event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,17 +70,17 @@ def event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.examples(event_pairs(spark, sf_dir), event_instances(spark, sf_dir), DRAWS, SEED)
+    index = event_instances(spark, sf_dir)
+    visits = index.where("k = 0").select("id", "d", "n")
+    return sampling.examples(pairs.consecutive(visits, carry=("n",)), index, DRAWS, SEED)
 
 
-def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every draw of each pair with its vectors."""
-    return sampling.with_vectors(event_examples(spark, sf_dir), embeddings(spark, sf_dir))
-
-
-def first_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first draw of each pair with its vectors: what the SQL of the queries that read it has."""
-    return sampling.with_vectors(event_examples(spark, sf_dir).where("draw = 0"), embeddings(spark, sf_dir))
+def vector_pairs(spark: SparkSession, sf_dir: str, pool=None) -> DataFrame:
+    """Every draw of each pair with its vectors. Where they are pooled, each vector is pooled once, before the join."""
+    vectors = embeddings(spark, sf_dir)
+    if pool is not None:
+        vectors = vectors.withColumn("embedding", pool(F.col("embedding")))
+    return sampling.with_vectors(event_examples(spark, sf_dir), vectors)
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +92,7 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ch, t, v, event_id, d): the events' values, one channel for each type."""
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("ch"), "ts", "event_id", F.col("value").alias("v"), F.col("ts").cast("date").alias("d"))
-    return ranked(e, ["ts", "event_id"], F.to_date("ts"), ("ch",), "t").select("ch", F.col("t").cast("long").alias("t"), "v", "event_id", "d")
+    return ranked(e, ["ts", "event_id"], ("ch",), "t").select("ch", F.col("t").cast("long").alias("t"), "v", "event_id", "d")
 
 
 def halves(spark: SparkSession, sf_dir: str) -> DataFrame:

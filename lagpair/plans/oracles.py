@@ -65,7 +65,7 @@ def pooled(how: str) -> str:
 
 
 def delta(value: str, dims: int, more: str = "") -> str:
-    return f"with {VP} select id, {DATES}, i::bigint as dim, {r6(value)} as v{more} from (select *, unnest(range({dims})) as i from vp where draw = 0)"
+    return f"with {VP} select id, {DATES}, draw, i::bigint as dim, {r6(value)} as v{more} from (select *, unnest(range({dims})) as i from vp)"
 
 
 MEANS = f"(list_sum([x1[i + 1 + {TOKEN_DIM} * k]::double for k in range(len(x1) // {TOKEN_DIM})]) - list_sum([x0[i + 1 + {TOKEN_DIM} * k]::double for k in range(len(x0) // {TOKEN_DIM})])) / (len(x0) // {TOKEN_DIM})"
@@ -82,7 +82,7 @@ ORACLES: dict[str, str] = {
     "zero_pad_dates": f"with {O} select group_name, strftime(d, '%m') as m_pad, strftime(d, '%d') as d_pad from o",
     "distinct_sessions": f"with {O} select distinct group_name from o",
     "longitudinal_pairs": f"with {OP} select id as ID, strftime(before, '%Y') as Year_Before, strftime(before, '%m') as Month_Before, strftime(before, '%d') as Day_Before, strftime(after, '%Y') as Year_After, strftime(after, '%m') as Month_After, strftime(after, '%d') as Day_After from op",
-    "date_index_collect": f"with {E} select id, strftime(d, '%Y-%m-%d') as date, count(*) as n, min(idx) as first_idx, max(idx) as last_idx from e group by id, d",
+    "date_index_collect": f"with {E} select id, strftime(d, '%Y-%m-%d') as date, count(*) as n, min(idx) as first_idx, max(idx) as last_idx, string_agg(idx::varchar, ',' order by idx) as idxs from e group by id, d",
     "valid_pairs_semi_join": f"with {OP}, i as (select distinct id, d from o where o_orderstatus = 'F') select id, {DATES} from op where (id, before) in (select (id, d) from i) and (id, after) in (select (id, d) from i)",
     "invalid_pairs_anti_join": f"with {OP}, i as (select distinct id, d from o where o_orderstatus = 'F') select id, {DATES} from op where not ((id, before) in (select (id, d) from i) and (id, after) in (select (id, d) from i))",
     "fold_ntile": f"with {FM} select id, fold from fm",

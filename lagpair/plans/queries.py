@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lagpair.functions import sessions, vectors
@@ -71,8 +71,9 @@ def longitudinal_pairs(spark, sf_dir):
 
 @query
 def date_index_collect(spark, sf_dir):
-    rows = B.event_index(spark, sf_dir).groupBy("id", "d").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
-    return rows.select("id", F.date_format("d", "yyyy-MM-dd").alias("date"), "n", "first_idx", "last_idx")
+    rows = pairs.date_index(B.event_index(spark, sf_dir))
+    idxs = F.col("idxs")
+    return rows.select("id", F.date_format("d", "yyyy-MM-dd").alias("date"), F.size(idxs).cast("long").alias("n"), idxs[0].alias("first_idx"), F.element_at(idxs, -1).alias("last_idx"), F.array_join(idxs.cast("array<string>"), ",").alias("idxs"))
 
 
 @query
@@ -202,31 +203,30 @@ def pool_concat(spark, sf_dir):
 
 
 def long_delta(rows: DataFrame, column, *more: str) -> DataFrame:
-    exploded = rows.select("id", "before", "after", *more, F.posexplode(column).alias("dim", "v"))
-    return shown(exploded.withColumns({"dim": F.col("dim").cast("long"), "v": r6(F.col("v"))}), "dim", "v", *more)
+    exploded = shown(rows.withColumn("x", column), *more, "x").select("id", "before_date", "after_date", *more, F.posexplode("x").alias("dim", "v"))
+    return exploded.withColumns({"dim": F.col("dim").cast("long"), "v": r6(F.col("v"))})
 
 
 @query
 def delta_raw(spark, sf_dir):
-    return long_delta(B.first_draws(spark, sf_dir), vectors.delta(F.col("x0"), F.col("x1")))
+    return long_delta(B.vector_pairs(spark, sf_dir), vectors.delta(F.col("x0"), F.col("x1")), "draw")
 
 
-def mean_delta() -> F.Column:
-    x0, x1 = (vectors.pool(vectors.tokens(F.col(c), B.TOKEN_DIM), "mean") for c in ("x0", "x1"))
-    return vectors.delta(x0, x1)
+def mean_pooled(embedding: F.Column) -> F.Column:
+    return vectors.pool(vectors.tokens(embedding, B.TOKEN_DIM), "mean")
 
 
 @query
 def delta_mean(spark, sf_dir):
-    return long_delta(B.first_draws(spark, sf_dir), mean_delta())
+    return long_delta(B.vector_pairs(spark, sf_dir, mean_pooled), vectors.delta(F.col("x0"), F.col("x1")), "draw")
 
 
 @query
 def extract_delta_embeddings(spark, sf_dir):
-    rows = B.first_draws(spark, sf_dir)
+    rows = B.vector_pairs(spark, sf_dir, mean_pooled)
     flipped = F.col("label") == 1
-    signed = F.transform(mean_delta(), lambda v: F.when(flipped, -v).otherwise(v))
-    return long_delta(rows, signed, "label")
+    signed = F.transform(vectors.delta(F.col("x0"), F.col("x1")), lambda v: F.when(flipped, -v).otherwise(v))
+    return long_delta(rows, signed, "draw", "label")
 
 
 @query
@@ -239,7 +239,7 @@ def pool_attentive(spark, sf_dir):
 @query
 def delta_attentive(spark, sf_dir):
     model = attention.AttentivePool.fixed(B.TOKEN_DIM, B.TOKEN_DIM, heads=2)
-    return long_delta(B.vector_pairs(spark, sf_dir), vectors.delta(model.pooled(F.col("x0")), model.pooled(F.col("x1"))), "draw")
+    return long_delta(B.vector_pairs(spark, sf_dir, model.pooled), vectors.delta(F.col("x0"), F.col("x1")), "draw")
 
 
 @query
@@ -397,8 +397,6 @@ def saliency_flip(spark, sf_dir):
 @query
 def trace_layout(spark, sf_dir):
     s = signals.zscore(B.signal(spark, sf_dir).select("ch", "t", "v"))
-    montage = s.select("ch").distinct()
-    other = montage.select(F.col("ch").alias("other"))
-    pos = montage.join(other, F.col("other") < F.col("ch"), "left").groupBy("ch").agg(F.count("other").alias("pos"))
+    pos = s.select("ch").distinct().select("ch", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ch")) - 1).alias("pos"))  # a row for each channel
     out = signals.trace_layout(s.join(pos, "ch"))
     return out.select("ch", "t", r6(F.col("y")).alias("y"), r6(F.col("y_lo")).alias("y_lo"), r6(F.col("y_hi")).alias("y_hi"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -27,19 +28,50 @@ class _Rows(InputPartition):
         self.start, self.end = start, end
 
 
+def _opened(path: str) -> pa.NativeFile:
+    store, place = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    return store.open_input_file(place)
+
+
+def npy_header(path: str) -> tuple[tuple[int, ...], np.dtype, int]:
+    """Shape, type and first byte of the numbers of an array file in any store that Arrow reads."""
+    with _opened(path) as f:
+        version = np.lib.format.read_magic(f)
+        shape, by_column, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+        if by_column and len(shape) > 1:
+            raise ValueError(f"{path} is stored column by column")
+        return shape, kind, f.tell()
+
+
+def write_npy(vectors: DataFrame, path: str) -> None:
+    """Writes embeddings, ordered by dataset_idx, as an array file of float32. They pass the driver a partition at a time."""
+    rows = vectors.where("dataset_idx is not null").orderBy("dataset_idx").select(F.col("embedding").cast("array<float>").alias("embedding"))
+    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).first()
+    if sizes["low"] != sizes["high"]:
+        raise ValueError("vectors are not of one length")
+    store, place = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    with store.open_output_stream(place) as out:
+        np.lib.format.write_array_header_1_0(out, {"descr": "<f4", "fortran_order": False, "shape": (sizes["n"], sizes["high"] or 0)})
+        for row in rows.toLocalIterator():
+            out.write(np.array(row["embedding"], dtype="<f4").tobytes())
+
+
 class NpyReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.rows = int(options.get("rows", ROWS))
 
     def partitions(self) -> list[InputPartition]:
-        n = len(np.load(self.path, mmap_mode="r"))
+        n = npy_header(self.path)[0][0]
         return [_Rows(s, min(s + self.rows, n)) for s in range(0, n, self.rows)] or [_Rows(0, 0)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        data = np.load(self.path, mmap_mode="r")
+        shape, kind, first = npy_header(self.path)
+        size = int(np.prod(shape[1:], dtype=np.int64)) * kind.itemsize
+        file = _opened(self.path)
         for s in range(partition.start, partition.end, BATCH):
-            part = np.asarray(data[s : min(s + BATCH, partition.end)], dtype=np.float32)
+            n = min(s + BATCH, partition.end) - s
+            part = np.frombuffer(file.read_at(n * size, first + s * size), kind).reshape(n, *shape[1:]).astype(np.float32)
             flat = part.reshape(len(part), -1)
             values = pa.array(flat.ravel(), pa.float32())
             offsets = pa.array(np.arange(len(part) + 1) * flat.shape[1], pa.int32())
@@ -50,7 +82,7 @@ class NpyReader(DataSourceReader):
 class NpySource(DataSource):
     """Rows of an array file: dataset_idx, the row flattened token by token, and its number of tokens.
 
-    Each partition maps its own range of rows. The path must be one that executors can open.
+    Each partition reads its own range of rows. The path is local, or a URI of a store that Arrow reads.
     """
 
     @classmethod
@@ -76,6 +108,20 @@ def read_paired_npy(spark: SparkSession, before: str, after: str, groups: DataFr
     return x0.join(x1, "pos").join(groups, "pos")
 
 
+def snippets(recordings, batches: Iterator[pa.RecordBatch], start: int, window: int, channels: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Rows of the named recordings' channels, ``window`` samples from ``start`` on; fewer, or none, where a recording ends.
+
+    ``recordings`` gives an array of (channels, time) as ``recordings[name]["eeg"]``. A name that it does not have is an error.
+    """
+    for batch in batches:
+        for name in batch.column("group_name").to_pylist():
+            part = np.asarray(recordings[name]["eeg"][:, start : start + window]).astype(np.float32)
+            if len(part) != len(channels):
+                raise ValueError(f"{name} has {len(part)} channels, the montage {len(channels)}")
+            samples = pa.array(list(part), pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(len(part)), pa.int32()), pa.array(channels), samples], names=["group_name", "pos", "channel", "samples"])
+
+
 def read_hdf5(spark: SparkSession, path: str, groups: DataFrame, start: int, window: int, montage: tuple[str, ...] = BIPOLAR) -> DataFrame:
     """A slice of each named recording, one row a channel. Needs h5py on the executors."""
     try:
@@ -87,12 +133,7 @@ def read_hdf5(spark: SparkSession, path: str, groups: DataFrame, start: int, win
         import h5py
 
         with h5py.File(path, "r") as f:
-            for batch in batches:
-                for name in batch.column("group_name").to_pylist():
-                    part = f[name]["eeg"][:, start : start + window].astype(np.float32)
-                    if len(part) != len(montage):
-                        raise ValueError(f"{name} has {len(part)} channels, the montage {len(montage)}")
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(len(part)), pa.int32()), pa.array(montage), pa.array(list(part), pa.list_(pa.float32()))], names=["group_name", "pos", "channel", "samples"])
+            yield from snippets(f, batches, start, window, montage)
 
     return groups.select("group_name").distinct().mapInArrow(read, "group_name string, pos int, channel string, samples array<float>")
 

@@ -37,8 +37,13 @@ def write_best(spark: SparkSession, folder: str, epoch: int, auroc: float, acc:
     return path
 
 
-def read_weights(spark: SparkSession, path: str) -> dict[str, list[float]]:
-    return {r["name"]: list(r["v"]) for r in spark.read.parquet(path).collect()}
+def read_weights(spark: SparkSession, path: str, overrides: dict[str, list[float]] | None = None) -> dict[str, list[float]]:
+    """A model's weights by name; those of ``overrides`` take the place of the stored ones, which must have their names."""
+    stored = {r["name"]: list(r["v"]) for r in spark.read.parquet(path).collect()}
+    unknown = set(overrides or {}) - set(stored)
+    if unknown:
+        raise ValueError(f"no weight {', '.join(sorted(unknown))} in {path}")
+    return {**stored, **(overrides or {})}
 
 
 def as_map(weights: DataFrame) -> DataFrame:

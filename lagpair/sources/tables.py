@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lagpair import schema
 from lagpair.operators.pairs import pair_parts
+from lagpair.sources.shared import remove, work_path
 
 # Names of the pair files.
 PAIR_FILE = "longitudinal_pairs"
@@ -25,24 +26,31 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_pairs(pairs: DataFrame, path: str) -> None:
-    """One file of all pairs, with the seven columns of the pair file."""
-    pair_parts(pairs).coalesce(1).write.option("header", True).csv(f"{path}/{PAIR_FILE}")
+    """A folder of all pairs, with the seven columns of the pair file; as many files as there are tasks."""
+    pair_parts(pairs).write.option("header", True).csv(f"{path}/{PAIR_FILE}")
 
 
 def write_folds(folded: DataFrame, path: str) -> None:
-    """A folder for each fold, so that a fold is read without the others."""
-    columns = pair_parts(folded).columns
-    rows = folded.select("fold", F.struct("*").alias("r")).select("fold", "r.id", "r.before", "r.after")
-    parts = rows.select("fold", *(c for c in _parts()))
-    parts.select("fold", *columns).repartition("fold").write.partitionBy("fold").option("header", True).csv(path)
-
-
-def _parts():
-    from lagpair.functions.sessions import zero_padded
-
-    sides = (("before", "Before"), ("after", "After"))
-    dates = [zero_padded(f(day), w).alias(f"{n}_{side}") for day, side in sides for f, w, n in ((F.year, 4, "Year"), (F.month, 2, "Month"), (F.day, 2, "Day"))]
-    return [F.col("id").alias("ID"), *dates]
+    """A folder for each fold, so that a fold is read without the others; every task writes its rows of each fold."""
+    pair_parts(folded, "fold").write.partitionBy("fold").option("header", True).csv(path)
+
+
+def write_fold_files(folded: DataFrame, path: str) -> None:
+    """One file ``longitudinal_pairs_fold_<n>.csv`` for each fold, as other programs expect them: a fold is one task's output.
+    For folds of any size there is :func:`write_folds`."""
+    spark = folded.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = work_path(spark, "fold-files")
+    pair_parts(folded, "fold").repartition("fold").write.partitionBy("fold").option("header", True).csv(parts)
+    fs.mkdirs(target)
+    for folder in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{parts}/fold=*")):
+        number = folder.getPath().getName().split("=")[1]
+        (file,) = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().endswith(".csv")]
+        name = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{PAIR_FILE}_fold_{number}.csv")
+        if not fs.rename(file, name):
+            raise OSError(f"cannot write {name}")
+    remove(spark, parts)
 
 
 def _typed(rows: DataFrame) -> DataFrame:

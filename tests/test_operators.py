@@ -88,10 +88,13 @@ def test_folds(spark):
 
 def test_ranks_and_tiles(spark):
     df = spark.createDataFrame([(k % 3, (k * 7) % 100) for k in range(100)] + [(None, 1), (None, 0)], "g int, x int")
-    got = ranked(df, ["x"], F.floor(F.col("x") / 10), ("g",)).collect()
+    got = ranked(df, ["x"], ("g",), size="n").collect()
     for g in (0, 1, 2, None):
         mine = sorted((r["x"], r["rank"]) for r in got if r["g"] == g)
-        assert [r for _, r in mine] == list(range(len(mine)))
+        assert [r for _, r in mine] == list(range(len(mine))) and {r["n"] for r in got if r["g"] == g} == {len(mine)}
+    hot = ranked(spark.range(50_000).selectExpr("'one' as g", "id * 7919 % 50021 as x"), ["x"], ("g",)).collect()
+    assert [r["rank"] for r in sorted(hot, key=lambda r: r["x"])] == list(range(50_000))
+    assert sorted(r["rank"] for r in ranked(spark.range(1000), ["id"]).collect()) == list(range(1000)) and ranked(spark.range(0), ["id"]).count() == 0
     tiles = spark.range(7).select(tile(F.col("id"), F.lit(7).cast("long"), 3).alias("t")).collect()
     assert [r["t"] for r in tiles] == [1, 1, 1, 2, 2, 3, 3]
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+
+from lagpair.operators.attention import AttentivePool, MlpHead
 from lagpair.operators.signals import gaussian_kernel
-from lagpair.plans.bindings import BATCH, BIAS, DRAWS, FOLDS, SEED, TEST_FOLD, TOKEN_DIM, WEIGHTS
+from lagpair.plans.bindings import BATCH, BIAS, DIMS, DRAWS, FOLDS, SEED, TEST_FOLD, TOKEN_DIM, WEIGHTS
 from lagpair.plans.queries import PATCH
 
 O = "o as (select o_custkey::varchar as id, o_orderdate::date as d, o_orderkey, o_orderstatus, o_custkey || '_' || strftime(o_orderdate, '%Y_%m_%d') || '_' || o_orderkey as group_name from orders)"
@@ -15,8 +18,9 @@ RANKED = f"{EP}, ids as (select id, row_number() over (order by md5('{SEED}|' ||
 FM = f"{RANKED}, fm as (select id, ntile({FOLDS}) over (order by r) as fold from ids), fp as (select ep.*, fm.fold from ep join fm using (id))"
 
 
-def hashed(side: str) -> str:
-    return f"('0x' || substr(md5(concat_ws('|', '{SEED}', '{side}', id, strftime(before, '%Y-%m-%d'), strftime(after, '%Y-%m-%d'), draw::varchar)), 1, 7))::bigint"
+def hashed(side: str, *more: str) -> str:
+    parts = ", ".join(f"'{x}'" for x in (SEED, side, *more))
+    return f"('0x' || substr(md5(concat_ws('|', {parts}, id, strftime(before, '%Y-%m-%d'), strftime(after, '%Y-%m-%d'), draw::varchar)), 1, 7))::bigint"
 
 
 DRAWN = f"{EP}, dr as (select ep.*, unnest(range({DRAWS})) as draw from ep)"
@@ -38,6 +42,37 @@ S = "s as (select event_type as ch, row_number() over (partition by event_type o
 H = f"{S}, h as (select ch, t, v, case when 2 * t < count(*) over (partition by ch) then 0 else 1 end as timepoint from s)"
 
 
+def literal(x: np.ndarray) -> str:
+    return "[" + ", ".join(literal(v) if np.ndim(v) else repr(float(v)) for v in x) + "]"
+
+
+def dense(x: str, weight: np.ndarray, bias: np.ndarray) -> str:
+    """weight times the list x, and bias."""
+    return f"[list_dot_product({x}, ({literal(weight)})[i]) + ({literal(bias)})[i] for i in range(1, {len(bias)} + 1)]"
+
+
+def gelu(x: str) -> str:
+    """GELU of each number of a list, with the series of the error function."""
+    series = "list_sum([(case when n % 2 = 0 then 1 else -1 end) * pow(y / sqrt(2.0), 2 * n + 1) / (gamma(n + 1.0) * (2 * n + 1)) for n in range(80)])"
+    return f"[y * 0.5 * (1 + 2 / sqrt(pi()) * {series}) for y in {x}]"
+
+
+def attentive() -> str:
+    """Attentive pooling of every vector with the fixed weights, head by head."""
+    model = AttentivePool.fixed(TOKEN_DIM, TOKEN_DIM, heads=2)
+    w, width = model.weights, TOKEN_DIM // 2
+    return f"""tk as (select vec_id, [embedding[t * {TOKEN_DIM} + j]::double for j in range(1, {TOKEN_DIM} + 1)] as x from (select vec_id, embedding, unnest(range(len(embedding) // {TOKEN_DIM})) as t from embeddings)),
+kv as (select vec_id, {dense(literal(w['query'][0]), w['wq'], w['bq'])} as q, {dense('x', w['wk'], w['bk'])} as k, {dense('x', w['wv'], w['bv'])} as v from tk),
+sc as (select vec_id, h, v[h * {width} + 1 : h * {width} + {width}] as v, list_dot_product(q[h * {width} + 1 : h * {width} + {width}], k[h * {width} + 1 : h * {width} + {width}]) / sqrt({width}.0) as z from (select *, unnest(range(2)) as h from kv)),
+ex_ as (select vec_id, h, v, exp(z - max(z) over (partition by vec_id, h)) as e from sc),
+hd as (select vec_id, h, i, sum(e * v[i]) / sum(e) as o from (select *, unnest(range(1, {width} + 1)) as i from ex_) group by vec_id, h, i),
+al as (select vec_id, list(o order by h, i) as o from hd group by vec_id),
+po as (select vec_id, {dense('o', w['wo'], w['bo'])} as o from al),
+up_ as (select vec_id, {dense('o', w['up'], w['up_b'])} as u from po),
+ge as (select vec_id, {gelu('u')} as u from up_),
+pooled as (select vec_id, {dense('u', w['down'], w['down_b'])} as p from ge)"""
+
+
 def r6(x: str) -> str:
     return f"(round({x}, 6) + 0.0)::double"
 
@@ -75,6 +110,10 @@ SMOOTHED = f"""{H}, own as (select ch, timepoint, t - min(t) over (partition by
 imp as (select ch, {r6('avg(v) filter (timepoint = 0)')} as t0, {r6('avg(v) filter (timepoint = 1)')} as t1 from sm group by ch)"""
 RANK = "row_number() over (order by t0 + t1 desc, ch) as rank"
 
+MLP = MlpHead.fixed(DIMS)
+LOG = ("train_loss", "train_acc", "train_auroc", "val_loss", "val_acc", "val_auroc")
+DAILY = f"with log as (select date_diff('day', (select min(ts::date) from events), ts::date) as epoch, {', '.join(f'round(avg(value + {k}), 4) as {n}' for k, n in enumerate(LOG))} from events group by 1)"
+
 ORACLES: dict[str, str] = {
     "parse_group_name": f"with {O} select group_name, regexp_extract(group_name, '^(\\d+)_(\\d{{4}})_(\\d{{2}})_(\\d{{2}})', 1) as id, regexp_extract(group_name, '^(\\d+)_(\\d{{4}})_(\\d{{2}})_(\\d{{2}})', 2) as y, regexp_extract(group_name, '^(\\d+)_(\\d{{4}})_(\\d{{2}})_(\\d{{2}})', 3) as m, regexp_extract(group_name, '^(\\d+)_(\\d{{4}})_(\\d{{2}})_(\\d{{2}})', 4) as d from o",
     "split_group_name": f"with {O} select group_name, split_part(group_name, '_', 1)::int as id, split_part(group_name, '_', 2)::int as y, split_part(group_name, '_', 3)::int as m, split_part(group_name, '_', 4)::int as d from o",
@@ -127,4 +166,30 @@ ORACLES: dict[str, str] = {
     "bar_layout": f"with {IMPORTANCE}, r as (select *, {RANK} from imp) select ch, {r6('rank - 1 - 0.175')} as x0, {r6('rank - 1 + 0.175')} as x1, t0, t1 from r",
     "saliency_flip": f"with {IMPORTANCE} select ch, case when length(ch) % 2 = 1 then t1 else t0 end as cam_0, case when length(ch) % 2 = 1 then t0 else t1 end as cam_1 from imp",
     "trace_layout": f"with {S}, p as (select ch, row_number() over (order by ch) - 1 as pos from (select distinct ch from s)), q as (select ch, t, (v - avg(v) over (partition by ch)) / (stddev_pop(v) over (partition by ch) + 1e-8) as v from s) select ch, t, {r6('v + 6.0 * pos')} as y, {r6('6.0 * pos - 2.5')} as y_lo, {r6('6.0 * pos + 2.5')} as y_hi from q join p using (ch)",
+    "rejected_names": f"with {O} select distinct 'x' || group_name as group_name from o where o_orderstatus = 'O'",
+    "exact_folds": f"with {EP}, n as (select count(distinct id) as n from ep) select f as fold, n // {FOLDS} + (f <= n % {FOLDS})::int as n, n // {FOLDS} + (f <= n % {FOLDS})::int as n_ids from n, (select unnest(range(1, {FOLDS} + 1)) as f)",
+    "epoch_order": f"with {DRAWN} select id, {DATES}, draw, row_number() over (order by ('0x' || substr(md5(concat_ws('|', '{SEED}', '3', id, before::varchar, after::varchar, draw::varchar)), 1, 7))::bigint, id, before, after, draw) - 1 as place from dr",
+    "train_test_batches": f"""with {EX}, ids as (select id, row_number() over (order by md5('{SEED}|' || id), id) as r from (select distinct id from ep)), fm as (select id, ntile({FOLDS}) over (order by r) as fold from ids),
+te as (select ex.*, 'test' as split, (row_number() over (order by id, before, after, draw) - 1) // {BATCH} as batch_id from ex join fm using (id) where fold = {TEST_FOLD}),
+tr as (select dr.id, before, after, draw, a.idxs[{hashed('i0', '0')} % len(a.idxs) + 1] as i0, b.idxs[{hashed('i1', '0')} % len(b.idxs) + 1] as i1, {hashed('label', '0')} % 2 as label, 'train' as split,
+  (row_number() over (order by ('0x' || substr(md5(concat_ws('|', '{SEED}', '0', dr.id, before::varchar, after::varchar, draw::varchar)), 1, 7))::bigint, dr.id, before, after, draw) - 1) // {BATCH} as batch_id
+  from (select dr.* from dr join fm using (id) where fold <> {TEST_FOLD}) dr join (select id as aid, d as ad, idxs from li) a on a.aid = dr.id and a.ad = before join (select id as bid, d as bd, idxs from li) b on b.bid = dr.id and b.bd = after)
+select id, {DATES}, draw, i0, i1, label, split, batch_id from (select id, before, after, draw, i0, i1, label, split, batch_id from te union all select id, before, after, draw, i0, i1, label, split, batch_id from tr)""",
+    "pool_attentive": f"with {attentive()} select vec_id, (i - 1)::bigint as dim, {r6('p[i]')} as v from (select *, unnest(range(1, {TOKEN_DIM} + 1)) as i from pooled)",
+    "delta_attentive": f"with {EX}, {attentive()} select id, {DATES}, draw, (i - 1)::bigint as dim, {r6('y.p[i] - x.p[i]')} as v from (select *, unnest(range(1, {TOKEN_DIM} + 1)) as i from ex) ex join pooled x on x.vec_id = i0 join pooled y on y.vec_id = i1",
+    "mlp_head_logits": f"""with hi as (select vec_id, {dense('[v::double for v in embedding]', MLP.hidden, MLP.hidden_b)} as u from embeddings), ge as (select vec_id, {gelu('u')} as u from hi),
+z as (select vec_id, {dense('u', MLP.out, MLP.out_b)} as z from ge) select vec_id, {r6('z[1]')} as z0, {r6('z[2]')} as z1 from z""",
+    "metadata_file": f"with {O} select group_name, o_orderkey as dataset_idx from o",
+    "pair_file": f"with {OP} select id, {DATES} from op",
+    "fold_folders": f"with {FM} select id, {DATES}, fold from fp",
+    "fold_files": f"with {FM} select id, {DATES}, fold from fp",
+    "npy_file": f"select vec_id as dataset_idx, i::bigint as pos, {r6('embedding[i + 1]::double')} as v from (select *, unnest(range(len(embedding))) as i from embeddings)",
+    "paired_npy_files": f"select vec_id as pos, vec_id // 4 as \"group\", {r6('list_sum([v::double for v in embedding])')} as total from embeddings",
+    "importance_file": f"with {IMPORTANCE} select ch as \"Channel\", t0 as \"Mean_Importance_T0\", t1 as \"Mean_Importance_T1\" from imp",
+    "metrics_log": f"{DAILY} select epoch::bigint as epoch, train_loss, val_acc, val_auroc from log",
+    "best_checkpoint": f"{DAILY}, b as (select epoch from log where epoch >= 20 order by val_auroc desc, epoch limit 1), w as (select unnest([{', '.join(f"{{'name': 'w{c}', 'v': {literal(np.array(row))}}}" for c, row in enumerate(WEIGHTS))}, {{'name': 'bias', 'v': [0.5, 0.25]}}]) as w) select 'epoch=' || lpad(epoch::varchar, greatest(2, len(epoch::varchar))::int, '0') as epoch, w.name as name, i::bigint as pos, w.v[i + 1]::double as v from (select epoch, w, unnest(range(len(w.v))) as i from b, w)",
+    "checkpoint_parameters": f"select vec_id, name, {r6('embedding[k]::double')} as v0, {r6('embedding[k + 1]::double')} as v1 from embeddings, (select unnest(['norm.weight', 'fc_norm.weight', 'head']) as name, unnest([1, 1, 3]) as k)",
+    "named_channels": "select event_id, event_type as ch, dense_rank() over (order by event_type) - 1 as pos from events",
+    "signal_snippets": f"with {S} select group_name, ch, t - 5 as t, {r6('round(v, 2)')} as v from (select strftime(d, '%Y-%m-%d') as group_name, ch, row_number() over (partition by ch, d order by t) - 1 as t, v from s) where t >= 5 and t < 45",
+    "saliency_gradient": f"select t as tok, j as dim, {r6(f'({literal(np.array(WEIGHTS[0][:TOKEN_DIM]))})[j + 1] / {DIMS // TOKEN_DIM}')} as v from (select unnest(range({DIMS // TOKEN_DIM})) as t), (select unnest(range({TOKEN_DIM})) as j)",
 }

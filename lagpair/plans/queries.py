@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lagpair import schema
 from lagpair.functions import sessions, vectors
 from lagpair.operators import attention, folds, metrics, pairs, sampling, signals, training
 from lagpair.plans import bindings as B
 from lagpair.plans.bindings import table
+from lagpair.sources import arrays, checkpoints, tables
+from lagpair.sources.shared import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,6 +89,14 @@ def invalid_pairs_anti_join(spark, sf_dir):
     return shown(pairs.invalid(B.order_pairs(spark, sf_dir), B.finished_orders(spark, sf_dir)))
 
 
+@query
+def rejected_names(spark, sf_dir):
+    """Names of open orders are spoilt: they do not parse."""
+    names = B.order_names(spark, sf_dir)
+    spoilt = F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("x"), "group_name")).otherwise(F.col("group_name"))
+    return pairs.rejected(names.select(spoilt.alias("group_name")))
+
+
 # folds
 
 
@@ -124,6 +135,12 @@ def group_shuffle_split(spark, sf_dir):
     return folds.group_shuffle_split(B.event_pairs(spark, sf_dir), 0.6, B.SEED)
 
 
+@query
+def exact_folds(spark, sf_dir):
+    """Folds of the legacy seeded shuffle, counted."""
+    return folds.exact_fold_map(B.event_pairs(spark, sf_dir), B.FOLDS, B.SEED).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"))
+
+
 # sampling
 
 
@@ -164,6 +181,20 @@ def eval_batches(spark, sf_dir):
     return sampling.batches(B.event_examples(spark, sf_dir), B.BATCH).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def epoch_order(spark, sf_dir):
+    rows = sampling.labelled(sampling.expand(B.event_pairs(spark, sf_dir), B.DRAWS), B.SEED)
+    return shown(sampling.epoch_ranks(rows, [*sampling.PAIR, "draw"], B.SEED, 3), "draw", "place")
+
+
+@query
+def train_test_batches(spark, sf_dir):
+    """The loader in one call: fold, index and draws."""
+    train, test = sampling.train_test_batches(folded(spark, sf_dir), B.event_instances(spark, sf_dir), B.TEST_FOLD, B.DRAWS, B.BATCH, B.SEED)
+    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    return shown(both, "draw", "i0", "i1", "label", "split", "batch_id")
+
+
 @query
 def pair_embedding_lookup(spark, sf_dir):
     rows = sampling.with_vectors(B.event_examples(spark, sf_dir), B.embeddings(spark, sf_dir))
@@ -281,6 +312,21 @@ def linear_head_logits(spark, sf_dir):
     return B.logits(spark, sf_dir).select("vec_id", r6(F.col("z")[0]).alias("z0"), r6(F.col("z")[1]).alias("z1"))
 
 
+@query
+def mlp_head_logits(spark, sf_dir):
+    head = attention.MlpHead.fixed(B.DIMS)
+    z = F.col("z")
+    return B.embeddings(spark, sf_dir).select(F.col("dataset_idx").alias("vec_id"), head.logits(F.col("embedding")).alias("z")).select("vec_id", r6(z[0]).alias("z0"), r6(z[1]).alias("z1"))
+
+
+@query
+def train_adamw(spark, sf_dir):
+    """Losses of a logistic head on the vectors' labels, step by step."""
+    rows = B.embeddings(spark, sf_dir).select(F.col("embedding").alias("x"), (F.col("label") % 2).alias("label"))
+    losses = training.AdamW(rate=0.05).fit(rows, 3)[1]
+    return spark.createDataFrame(list(enumerate(losses)), "step long, loss double").select("step", r6(F.col("loss")).alias("loss"))
+
+
 @query
 def softmax_prob(spark, sf_dir):
     return B.logits(spark, sf_dir).select("vec_id", r6(vectors.softmax(F.col("z"))[1]).alias("p1"))
@@ -400,3 +446,126 @@ def trace_layout(spark, sf_dir):
     pos = s.select("ch").distinct().select("ch", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ch")) - 1).alias("pos"))  # a row for each channel
     out = signals.trace_layout(s.join(pos, "ch"))
     return out.select("ch", "t", r6(F.col("y")).alias("y"), r6(F.col("y_lo")).alias("y_lo"), r6(F.col("y_hi")).alias("y_hi"))
+
+
+# sources and sinks: what is written to the shared folder is read back
+
+
+@query
+def metadata_file(spark, sf_dir):
+    path = work_path(spark, "metadata")
+    B.order_names(spark, sf_dir).select("o_orderstatus", F.col("o_orderkey").alias("dataset_idx"), "group_name").write.option("header", True).csv(path)
+    return tables.read_metadata(spark, path)
+
+
+@query
+def pair_file(spark, sf_dir):
+    path = work_path(spark, "pairs")
+    tables.write_pairs(B.order_pairs(spark, sf_dir), path)
+    return shown(tables.read_pairs(spark, f"{path}/{tables.PAIR_FILE}"))
+
+
+@query
+def fold_folders(spark, sf_dir):
+    path = work_path(spark, "folds")
+    tables.write_folds(folded(spark, sf_dir), path)
+    return shown(tables.read_folds(spark, path), "fold")
+
+
+@query
+def fold_files(spark, sf_dir):
+    path = work_path(spark, "fold-files")
+    tables.write_fold_files(folded(spark, sf_dir), path)
+    return shown(tables.read_fold_files(spark, path), "fold")
+
+
+def array_file(spark, sf_dir) -> str:
+    path = work_path(spark, "vectors") + ".npy"
+    arrays.write_npy(B.embeddings(spark, sf_dir), path)
+    return path
+
+
+@query
+def npy_file(spark, sf_dir):
+    rows = arrays.read_npy(spark, array_file(spark, sf_dir), rows=300)
+    return rows.select("dataset_idx", F.posexplode("embedding").alias("pos", "v")).select("dataset_idx", F.col("pos").cast("long").alias("pos"), r6(F.col("v").cast("double")).alias("v"))
+
+
+@query
+def paired_npy_files(spark, sf_dir):
+    path = array_file(spark, sf_dir)
+    groups = sampling.group_ids(B.embeddings(spark, sf_dir).select(F.col("dataset_idx").alias("pos")))
+    rows = arrays.read_paired_npy(spark, path, path, groups)
+    return rows.select("pos", "group", r6(F.aggregate(vectors.delta(F.col("x0"), F.transform("x1", lambda v: 2 * v)), F.lit(0.0), lambda a, v: a + v)).alias("total"))
+
+
+@query
+def importance_file(spark, sf_dir):
+    path = work_path(spark, "importance")
+    ranked = signals.channel_ranking(rounded_importance(B.halves(spark, sf_dir)))
+    tables.write_importance(ranked.withColumn("pos", F.col("rank")), path)
+    return spark.read.option("header", True).schema(schema.CHANNEL_IMPORTANCE).csv(path)
+
+
+def daily_log(spark, sf_dir) -> DataFrame:
+    """A log of one row a day of events, in the columns of the metrics log."""
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("d"), "value")
+    log = e.crossJoin(F.broadcast(e.agg(F.min("d").alias("first")))).groupBy(F.datediff("d", "first").alias("epoch"))
+    names = [c.split()[0] for c in schema.METRICS.split(", ")][1:]
+    return log.agg(*(F.round(F.avg(F.col("value") + k), 4).alias(n) for k, n in enumerate(names)))
+
+
+@query
+def metrics_log(spark, sf_dir):
+    path = work_path(spark, "metrics")
+    log = daily_log(spark, sf_dir)
+    for half in (log.where("epoch < 20"), log.where("epoch >= 20")):
+        tables.append_metrics(half, path)
+    return tables.read_metrics(spark, path).select(F.col("epoch").cast("long").alias("epoch"), "train_loss", "val_acc", "val_auroc")
+
+
+@query
+def best_checkpoint(spark, sf_dir):
+    """The selected epoch's weights, written under its name and read with another bias."""
+    best = metrics.best_epoch(daily_log(spark, sf_dir), "val_auroc").first()
+    weights = {f"w{c}": row for c, row in enumerate(B.WEIGHTS)} | {"bias": B.BIAS}
+    path = checkpoints.write_best(spark, work_path(spark, "checkpoints"), best["epoch"], best["val_auroc"], best["val_acc"], weights)
+    got = checkpoints.read_weights(spark, path, {"bias": [0.5, 0.25]})
+    rows = [(path.rsplit("/", 1)[1].split("-")[0], name, i, float(v)) for name, values in got.items() for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "epoch string, name string, pos long, v double")
+
+
+@query
+def checkpoint_parameters(spark, sf_dir):
+    """Each vector as a checkpoint whose parameters are read as the encoder's are."""
+    e = B.embeddings(spark, sf_dir).select(F.col("dataset_idx").alias("vec_id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    params = F.create_map(F.lit("student.norm.weight"), F.slice("x", 1, 2), F.lit("head"), F.slice("x", 3, 2))
+    holder = F.when(F.col("vec_id") % 2 == 0, "model").otherwise("state_dict")
+    full = checkpoints.with_head_norm(checkpoints.student_names(checkpoints.parameters(F.create_map(F.lit("other"), params, holder, params))))
+    rows = e.select("vec_id", F.explode(full).alias("name", "v"))
+    return rows.select("vec_id", "name", r6(F.col("v")[0]).alias("v0"), r6(F.col("v")[1]).alias("v1"))
+
+
+@query
+def named_channels(spark, sf_dir):
+    """Samples by position, given their channels' names by a montage."""
+    names = sorted(r["ch"] for r in table(spark, sf_dir, "events").select(F.col("event_type").alias("ch")).distinct().collect())
+    montage = arrays.montage(spark, tuple(names))
+    rows = B.signal(spark, sf_dir).join(F.broadcast(montage), "ch").select("pos", "t", "event_id")
+    return arrays.name_channels(rows, montage).select("event_id", "ch", F.col("pos").cast("long").alias("pos"))
+
+
+@query
+def signal_snippets(spark, sf_dir):
+    """Forty samples from the sixth on of each channel's recordings of a day; fewer where one ends."""
+    day = B.signal(spark, sf_dir).withColumn("group_name", sampling.day("d"))
+    recordings = day.groupBy("group_name", "ch").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda s: s["v"]).alias("samples"))
+    cut = signals.snippet(recordings.withColumnRenamed("ch", "channel"), 5, 40)
+    return arrays.long_signal(cut).select("group_name", "ch", "t", r6(F.round("v", 2)).alias("v"))
+
+
+@query
+def saliency_gradient(spark, sf_dir):
+    """Gradient of the first class's logit by each number of a vector: mean pool and linear head."""
+    rows = vectors.mean_pool_gradient(B.WEIGHTS[0][: B.TOKEN_DIM], B.DIMS // B.TOKEN_DIM)
+    return spark.createDataFrame([(t, j, float(v)) for t, row in enumerate(rows) for j, v in enumerate(row)], "tok long, dim long, v double").select("tok", "dim", r6(F.col("v")).alias("v"))

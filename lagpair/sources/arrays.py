@@ -50,6 +50,7 @@ def write_npy(vectors: DataFrame, path: str) -> None:
     if sizes["low"] != sizes["high"]:
         raise ValueError("vectors are not of one length")
     store, place = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    store.create_dir(place.rsplit("/", 1)[0], recursive=True)
     with store.open_output_stream(place) as out:
         np.lib.format.write_array_header_1_0(out, {"descr": "<f4", "fortran_order": False, "shape": (sizes["n"], sizes["high"] or 0)})
         for row in rows.toLocalIterator():

@@ -142,6 +142,33 @@ def test_attention_against_loops(spark):
         attention.AttentivePool.fixed(8, 6, heads=4)
 
 
+def test_mlp_head_against_loops(spark):
+    head = attention.MlpHead.fixed(3)
+    x = np.random.default_rng(2).normal(size=(4, 3))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(9, None), (10, [1.0])]
+    got = {r["k"]: r["z"] for r in spark.createDataFrame(rows, "k int, x array<double>").select("k", head.logits(F.col("x")).alias("z")).collect()}
+    for k in range(4):
+        u = [sum(head.hidden[i][j] * x[k][j] for j in range(3)) + head.hidden_b[i] for i in range(6)]
+        u = [z * 0.5 * (1 + math.erf(z / math.sqrt(2))) for z in u]
+        assert np.allclose(got[k], [sum(head.out[c][i] * u[i] for i in range(6)) + head.out_b[c] for c in range(2)])
+    assert got[9] is None and got[10] is None
+
+
+def test_train_test_batches(spark):
+    visits = [(str(s), D(2024, 1, 1) + dt.timedelta(days=d), 10 * s + d) for s in range(12) for d in range(4)]
+    index = spark.createDataFrame(visits, "id string, d date, idx long")
+    found = pairs.consecutive(index.select("id", "d"))
+    folded = folds.assign(found, folds.fold_map(found, 3))
+    train, test = sampling.train_test_batches(folded, pairs.instances(index), 1, n_draws=2, size=7)
+    a, b = train.collect(), test.collect()
+    assert len(a) == 48 and len(b) == 24 and not {r["id"] for r in a} & {r["id"] for r in b}
+    assert sorted(r["batch_id"] for r in a) == [k // 7 for k in range(48)] and sorted(r["batch_id"] for r in b) == [k // 7 for k in range(24)]
+    key = lambda rows: sorted((r["id"], r["before"], r["draw"], r["i0"], r["i1"]) for r in rows)
+    assert key(sampling.train_test_batches(folded, pairs.instances(index), 1, 2, 7, epoch=5)[1].collect()) == key(b)
+    with pytest.raises(ValueError):
+        sampling.train_test_batches(folded, pairs.instances(index), 9)
+
+
 def auc_by_pairs(rows):
     pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
     return sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
@@ -207,8 +234,23 @@ def test_heads_learn(spark):
     for kind in training.HEADS:
         out = training.apply_head(training.fit_head(df, kind), df)
         assert out.agg(metrics.accuracy("pred", "label")).first()[0] > 0.9
+    a, b, m, v = np.zeros(5), [], np.zeros(5), np.zeros(5)
+    z1 = np.column_stack([x, np.ones(len(x))])
+    for t in range(1, 9):  # the same steps in numpy
+        z = z1 @ a
+        b.append(np.mean(np.logaddexp(0, z) - y * z))
+        g = z1.T @ (1 / (1 + np.exp(-z)) - y) / len(y)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        a = a - 0.1 * (m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) + 5e-4 * a)
     w, losses = training.AdamW(rate=0.1).fit(df, 8)
+    assert np.allclose(w, a) and np.allclose(losses, b)
     assert losses[-1] < losses[0] and w[0] > 0 > w[2]
     assert training.project(df).columns == ["x", "label", "p0", "p1"]
+    values, axes = np.linalg.eigh(np.cov(x.T))
+    got = np.array([[r["p0"], r["p1"]] for r in training.project(df).collect()])
+    seen = np.array([r["x"] for r in training.project(df).collect()])
+    for k in (0, 1):  # components up to their sign
+        want = seen @ axes[:, -1 - k]
+        assert np.allclose(got[:, k], want, atol=1e-6) or np.allclose(got[:, k], -want, atol=1e-6)
     with pytest.raises(ValueError):
         training.fit_head(df, "tree")

@@ -58,6 +58,55 @@ def test_npy(spark, tmp_path):
     assert arrays.read_paired_npy(spark, str(tmp_path / "x.npy"), str(tmp_path / "x.npy"), groups).where("x0 = x1").count() == 10
 
 
+def test_written_arrays(spark, tmp_path):
+    rows = spark.createDataFrame([(k, [float(k), k / 3]) for k in (5, 0, 3)] + [(None, [1.0, 1.0])], "dataset_idx long, embedding array<double>")
+    for path in (f"{tmp_path}/a.npy", f"file://{tmp_path}/b.npy"):
+        arrays.write_npy(rows, path)
+        got = arrays.read_npy(spark, path, rows=2).orderBy("dataset_idx").collect()
+        assert np.allclose([r["embedding"] for r in got], [[0, 0], [3, 1], [5, 5 / 3]])
+    assert np.load(tmp_path / "a.npy").dtype == np.float32
+    with pytest.raises(ValueError):
+        arrays.write_npy(rows.union(spark.createDataFrame([(9, [1.0])], rows.schema)), f"{tmp_path}/c.npy")
+    np.save(tmp_path / "f.npy", np.asfortranarray(np.ones((3, 2))))
+    with pytest.raises(Exception):
+        arrays.read_npy(spark, str(tmp_path / "f.npy")).count()
+
+
+def test_fold_files_are_named(spark, tmp_path):
+    df = spark.createDataFrame([(*p, k) for k, p in enumerate(PAIRS * 2, 1)], "id string, before date, after date, fold long")
+    tables.write_fold_files(df, f"{tmp_path}/named")
+    assert sorted(p.name for p in (tmp_path / "named").glob("*.csv")) == [f"longitudinal_pairs_fold_{k}.csv" for k in (1, 2, 3, 4)]
+    assert sorted(map(tuple, tables.read_fold_files(spark, f"{tmp_path}/named").collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_recordings_are_cut_where_they_end():
+    import pyarrow as pa
+
+    recordings = {"a": {"eeg": np.arange(22 * 50, dtype=np.float64).reshape(22, 50)}, "b": {"eeg": np.zeros((3, 5))}}
+    batch = lambda *names: iter([pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["group_name"])])
+    read = lambda start, window: [r for out in arrays.snippets(recordings, batch("a"), start, window, arrays.BIPOLAR) for r in out.to_pylist()]
+    got = read(10, 20)
+    assert [r["channel"] for r in got] == list(arrays.BIPOLAR) and got[1]["samples"] == [float(50 + t) for t in range(10, 30)]
+    assert [len(r["samples"]) for r in read(45, 20)] == [5] * 22 and [len(r["samples"]) for r in read(60, 20)] == [0] * 22
+    with pytest.raises(ValueError):
+        list(arrays.snippets(recordings, batch("b"), 0, 5, arrays.BIPOLAR))
+    with pytest.raises(KeyError):
+        list(arrays.snippets(recordings, batch("c"), 0, 5, arrays.BIPOLAR))
+
+
+def test_shared_tables_are_deleted(spark):
+    from lagpair.sources import shared
+
+    one, two = shared.stored(spark.range(3), "t"), shared.stored(spark.range(4), "t")
+    shared.discard(one)
+    assert two.count() == 4
+    with pytest.raises(Exception):
+        one.count()
+    shared.clear(spark)
+    with pytest.raises(Exception):
+        two.count()
+
+
 def test_montages(spark):
     assert len(arrays.BIPOLAR) == 22 and len(arrays.UNIPOLAR) == 23
     rows = spark.createDataFrame([(k, 1.0) for k in range(22)], "pos int, v double")
@@ -73,6 +122,9 @@ def test_checkpoints(spark, tmp_path):
     assert one({"state_dict": {"a": [0.0]}, "model": {"student.norm.weight": [1.0], "student.norm.bias": [2.0], "other": [3.0]}}, full) == {"norm.weight": [1.0], "norm.bias": [2.0], "other": [3.0], "fc_norm.weight": [1.0], "fc_norm.bias": [2.0]}
     assert one({"": {"norm.weight": [1.0], "fc_norm.weight": [5.0]}}, full) == {"norm.weight": [1.0], "fc_norm.weight": [5.0]}
     path = checkpoints.write_best(spark, str(tmp_path), 54, 0.671, 0.6, {"w": [1.0, 2.0]})
+    assert checkpoints.read_weights(spark, path, {"w": [3.0]}) == {"w": [3.0]}
+    with pytest.raises(ValueError):
+        checkpoints.read_weights(spark, path, {"other": [3.0]})
     assert path.endswith("epoch=54-val_auroc=0.67-val_acc=0.60") and checkpoints.read_weights(spark, path) == {"w": [1.0, 2.0]}
 
 

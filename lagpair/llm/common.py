@@ -1,46 +1,19 @@
-"""Shared folders, tables of intermediate results and Arrow settings."""
+"""Row keys, bitmaps of ids and Arrow settings; tables of intermediate results are the library's own."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagpair.sources.shared import discard, remove, shared_dir, stored, work_path
+
+__all__ = ["discard", "remove", "shared_dir", "stored", "work_path"]
+
 #: Bytes and rows of the Arrow batches that Python operators get.
 ARROW_BYTES = "4m"
 ARROW_ROWS = "4096"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
-
-    Where that is unset, as in tests, a temporary folder is made and set for a local master; on a cluster it is an error,
-    as executors elsewhere could not read it.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="lagpair-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a Parquet table of the shared folder and read again: its lineage ends there."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stored_path = path
-    return out
-
-
 #: The row number that :func:`numbered` adds.
 ROW = "lagpair_row"
 
@@ -58,17 +31,6 @@ def row_key(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     return numbered(docs, name), ROW
 
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables of :func:`stored` that no later result reads."""
-    for df in tables:
-        remove(df.sparkSession, df._stored_path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
 #: Words of a :func:`marks` table, at most: 64 bits each, some 24 MB where all of them are in use.
 MARK_WORDS = 1 << 19
 

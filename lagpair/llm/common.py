@@ -14,13 +14,18 @@ ARROW_BYTES = "4m"
 ARROW_ROWS = "4096"
 
 
-#: The row number that :func:`numbered` adds.
-ROW = "lagpair_row"
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, or the like of it that ``df`` has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df`` stored with a number of its own for every row; the numbers are written, so every later read has the same."""
-    return stored(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` stored with a number of its own for every row, and that column's name; every later read has the same numbers."""
+    row = fresh("row_number", df)
+    return stored(df.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
 def row_key(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -28,7 +33,7 @@ def row_key(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     ids = docs.select("doc_id")
     if ids.where("doc_id is null").isEmpty() and ids.groupBy("doc_id").count().where("count > 1").isEmpty():
         return docs, "doc_id"
-    return numbered(docs, name), ROW
+    return numbered(docs, name)
 
 
 #: Words of a :func:`marks` table, at most: 64 bits each, some 24 MB where all of them are in use.
@@ -53,8 +58,10 @@ def marked(rows: DataFrame, column: str, table: DataFrame) -> tuple[DataFrame, D
     With many more ids than bits the first part is nearly all rows: the filter saves work and never decides anything.
     """
     word, bit = _mark(column)
-    wide = rows.withColumns({"mark_of": word, "mark_bit": bit}).join(F.broadcast(table), F.col("mark_of") == F.col("mark_word"), "left")
-    hit = F.coalesce((F.col("mark_bits").bitwiseAND(F.col("mark_bit")) != 0) & F.col(f"`{column}`").isNotNull(), F.lit(False))
+    at, of, bits = (fresh(n, rows) for n in ("mark_at", "mark_of", "mark_all"))
+    words = table.select(F.col("mark_word").alias(of), F.col("mark_bits").alias(bits))
+    wide = rows.withColumn(at, bit).join(F.broadcast(words), word == F.col(of), "left")
+    hit = F.coalesce((F.col(bits).bitwiseAND(F.col(at)) != 0) & F.col(f"`{column}`").isNotNull(), F.lit(False))
     names = [F.col(f"`{c}`") for c in rows.columns]
     return wide.where(hit).select(*names), wide.where(~hit).select(*names)
 

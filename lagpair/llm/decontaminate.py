@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagpair.llm import textkit as K
-from lagpair.llm.common import ROW, discard, row_key, small_batches, stored, text_rows, without
+from lagpair.llm.common import discard, row_key, small_batches, stored, text_rows, without
 
 WINDOW_WORDS = 10
 PREFIX_WORDS = 3
@@ -188,7 +188,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORD
     items = hits.select("key", F.explode("items").alias("item")).distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
     none = F.array().cast("array<string>")
     every = places.where("token is null").select("key", "n_words").join(of_row.join(items, "key"), "key", "left").withColumn("items", F.coalesce("items", none))
-    named = every.withColumnRenamed("key", "doc_id") if key == "doc_id" else every.join(rows.select(F.col(ROW).alias("key"), F.col("doc_id").cast("long").alias("doc_id")), "key")
+    named = every.withColumnRenamed("key", "doc_id") if key == "doc_id" else every.join(rows.select(F.col(key).alias("key"), F.col("doc_id").cast("long").alias("doc_id")), "key")
     out = stored(
         named.select(
             "doc_id",

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagpair.llm import textkit as K
-from lagpair.llm.common import ROW, discard, marked, marks, row_key, small_batches, stored, text_rows, without
+from lagpair.llm.common import discard, marked, marks, row_key, small_batches, stored, text_rows, without
 from lagpair.llm.components import components
 
 SIGNATURE = 64
@@ -359,8 +359,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     rows, key = row_key(docs, "documents")
     if key == "doc_id":
         return without(docs, key, near_duplicates(docs, shingle, percent).where("not kept").select(key))
-    found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), shingle, percent).select(F.col("doc_id").alias(ROW), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", ROW)
-    placed = rows.select(ROW, "doc_id").join(found, ROW)
-    first = placed.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
-    return without(rows, ROW, placed.select(ROW).join(first, ROW, "left_anti")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), shingle, percent).select(F.col("doc_id").alias("number"), "component_id")
+    placed = rows.select(F.col(key).alias("number"), "doc_id").join(found, "number")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "number")
+    first = placed.groupBy("component_id").agg(F.min(order).alias("first")).select("first.number")
+    gone = placed.select("number").join(first, "number", "left_anti").withColumnRenamed("number", key)
+    return without(rows, key, gone).select(*(F.col(f"`{c}`") for c in docs.columns))

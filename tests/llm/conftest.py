@@ -14,7 +14,7 @@ def documents(spark):
             return df
         from pyspark.sql import functions as F
 
-        clash = ["n", "key", "node", "score", "rank", "length", "h", "n_words", "component_id", "kept", "content_key", "start", "size", "toxic"]
+        clash = ["n", "key", "node", "score", "rank", "length", "h", "n_words", "component_id", "kept", "content_key", "start", "size", "toxic", "row_number", "mark_at", "mark_of", "mark_all", "mark_word", "window", "token"]
         return df.select("*", *(F.lit("x").alias(c) for c in clash))
 
     return make

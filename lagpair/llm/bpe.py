@@ -236,5 +236,13 @@ def encoded(column: pa.Array, path: str, spaced: bool) -> Iterator[tuple[int, in
     """Slices of a column: first row, end row, ids, offsets of the rows' ids."""
     model = encoder(path, spaced)
     for a, b, raw, offsets in K.chunks(column):
-        ids, bounds = model.chunk(raw, offsets)
-        yield a, b, ids, bounds
+        if b - a > 1 or len(raw) <= 2 * K.CHUNK_BYTES:
+            yield a, b, *model.chunk(raw, offsets)
+            continue
+        # a word begins at a blank between letters or digits, whatever stands before it
+        found, at = [], 0
+        for end in K.parts(raw, K.lone_blanks(raw)):
+            found.append(model.chunk(raw[at:end], np.array([0, end - at]))[0])
+            at = end
+        ids = np.concatenate(found)
+        yield a, b, ids, np.array([0, len(ids)])

@@ -78,6 +78,24 @@ def gram_vectors(grams: np.ndarray, dims: int) -> np.ndarray:
 
 def gram_counts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, gram and count of each distinct gram of each text, ordered by row; and which texts have a letter."""
+    if len(offsets) != 2 or len(raw) <= 2 * K.CHUNK_BYTES:
+        return _gram_counts(raw, offsets)
+    # cut at blanks between letters: what the parts lack is the gram of the two letters and the boundary between them
+    slots, grams, counts, at, has = _tables()["letter slots"], [], [], 0, np.zeros(1, dtype=bool)
+    for end in K.parts(raw, K.lone_blanks(raw, K.ASCII_LETTER)):
+        _, gram, count, some = _gram_counts(raw[at:end], np.array([0, end - at]))
+        grams.append(gram)
+        counts.append(count)
+        has |= some
+        if end < len(raw):
+            grams.append(np.array([int(slots[raw[end - 1]]) << 24 | int(slots[raw[end + 1]])], np.uint64))
+            counts.append(np.ones(1, np.int64))
+        at = end + 1
+    gram, place = np.unique(np.concatenate(grams), return_inverse=True)
+    return np.zeros(len(gram), np.int64), gram, np.bincount(place, np.concatenate(counts), len(gram)).astype(np.int64), has
+
+
+def _gram_counts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     rows = len(offsets) - 1
     text = raw.tobytes().decode("utf-8")
     cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)

@@ -18,7 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one kernel call handles; the temporaries are some twenty times as large.
+#: Bytes of text that one kernel call handles; the temporaries are some twenty times as large. A text over twice this is cut
+#: inside where its parts do not meet: its words, grams and ids are those of the parts.
 CHUNK_BYTES = 1 << 20
 #: Shingle hashes keep so many low bits, which leaves the high ones for a row number.
 HASH_BITS = 52
@@ -89,8 +90,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(column: pa.Array, limit: int = CHUNK_BYTES, rows: int = 2048) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Slices of rows with at most ``limit`` bytes (a longer single row is a slice of its own): first row, end row, bytes, offsets."""
+def chunks(column: pa.Array, rows: int = 2048) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices of rows with at most ``CHUNK_BYTES`` bytes (a longer single row is a slice of its own): first row, end row, bytes, offsets."""
+    limit = CHUNK_BYTES
     raw, offsets = utf8(column)
     at, n = 0, len(offsets) - 1
     while at < n:
@@ -111,8 +113,49 @@ def release() -> None:
         kept["trim"](0)
 
 
+def parts(raw: np.ndarray, may_cut: np.ndarray) -> list[int]:
+    """Ends of the parts of a long text. Each but the last ends before a byte that ``may_cut`` (for each byte) allows, and is
+    ``CHUNK_BYTES`` long or, where no such byte is in these, as long as it takes."""
+    ends, at, places = [], 0, np.flatnonzero(may_cut)
+    while len(raw) - at > CHUNK_BYTES:
+        k = int(np.searchsorted(places, at + CHUNK_BYTES, side="right")) - 1
+        if k < 0 or places[k] <= at:
+            k += 1
+        if k >= len(places):
+            break
+        at = int(places[k])
+        ends.append(at)
+    return [*ends, len(raw)]
+
+
+#: Letters and digits of ASCII.
+ASCII_ALNUM = _lut(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122)
+ASCII_LETTER = _lut(lambda b: 65 <= b <= 90 or 97 <= b <= 122)
+
+
+def lone_blanks(raw: np.ndarray, beside: np.ndarray = ASCII_ALNUM) -> np.ndarray:
+    """Which bytes are a blank between two bytes of ``beside``."""
+    out = raw == 32
+    out[1:] &= beside[raw[:-1]]
+    out[:-1] &= beside[raw[1:]]
+    out[[0, -1]] = False
+    return out
+
+
 def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end byte of every word (A-Z lower-cased), and the word offsets of the rows."""
+    if len(raw) <= 2 * CHUNK_BYTES:
+        return _words(raw, offsets, inside)
+    found, a = [], 0
+    for b in parts(raw, ~inside[raw]):
+        hashed, start, end, _ = _words(raw[a:b], np.unique(np.clip(offsets - a, 0, b - a)), inside)
+        found.append((hashed, start + a, end + a))
+        a = b
+    hashed, start, end = (np.concatenate(x) for x in zip(*found))
+    return hashed, start, end, np.searchsorted(start, offsets)
+
+
+def _words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(raw)
     if n == 0:
         none = np.zeros(0, np.int64)
@@ -130,6 +173,8 @@ def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray = SPACED) ->
 
 def word_counts(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray = SPACED) -> np.ndarray:
     """Number of words of each row."""
+    if len(raw) > 2 * CHUNK_BYTES:
+        return np.diff(words(raw, offsets, inside)[3])
     body = inside[raw]
     edge = np.zeros(len(raw) + 1, dtype=bool)
     edge[offsets] = True

@@ -74,6 +74,21 @@ def grams(raw: np.ndarray, offsets: np.ndarray, bits: int, wanted: np.ndarray |
     rows = len(offsets) - 1
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if rows == 1 and len(raw) > 2 * K.CHUNK_BYTES:
+        # a part begins behind a blank and ends before one, and goes back far enough to hold what the last one's end cuts
+        blank = raw == 32
+        places, found, at = np.flatnonzero(blank), [], 0
+        for end in K.parts(raw, blank):
+            found.append(_grams(raw[at:end], np.array([0, end - at]), bits, wanted)[1])
+            k = int(np.searchsorted(places, end - 4 * max(SIZES), side="right")) - 1
+            at = int(places[k]) + 1 if k >= 0 else 0
+        place = np.unique(np.concatenate(found))
+        return np.zeros(len(place), np.int64), place
+    return _grams(raw, offsets, bits, wanted)
+
+
+def _grams(raw: np.ndarray, offsets: np.ndarray, bits: int, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    rows = len(offsets) - 1
     text = raw.tobytes().decode("utf-8")
     cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     at = offsets if len(cps) == len(raw) else np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets]

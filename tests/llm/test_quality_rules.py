@@ -70,3 +70,16 @@ def test_query_on_the_table(spark, sf_dir):
         assert r["base_failed"] == (base[0] < 20 or 100 * base[4] > 30 * base[0])
         assert not (r["base_failed"] and r["kept"])
     assert not docs
+
+
+def test_rows_that_the_rules_were_not_learnt_from(spark):
+    """Rules of one half of the labelled rows, judged on the other half."""
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null")
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2
+    out = Q.judged(spark.read.parquet(f"{sf}/documents.parquet"), labels.where(half == 0)).join(labels.where(half == 1).select("doc_id", "quality"), "doc_id").collect()
+    bad, good = [r for r in out if r["quality"] == 0], [r for r in out if r["quality"] == 1 and not r["base_failed"]]
+    assert sum(not r["kept"] for r in bad) >= 0.9 * len(bad)
+    assert sum(r["kept"] for r in good) >= 0.98 * len(good)

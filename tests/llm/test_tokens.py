@@ -195,3 +195,20 @@ def test_store_of_the_table(spark, sf_dir):
         want.append((doc_id, at, len(ids) + 1, crc(ids + [2])))
         at += len(ids) + 1
     assert sorted(map(tuple, QUERIES["op10_token_store"](spark, sf_dir).collect())) == want
+
+
+def test_packing_of_repeated_and_null_ids(spark, documents):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "other"), (None, "no id"), (None, None), (2, "w " * 5000), (2, "w " * 5000)]
+    out = packing.pack(documents(rows), WORD, 1).collect()
+    whole = [ids + [1] for ids in direct(WORD, [t or "" for _, t in rows])]
+    want = sorted(((d, k, s, len(ids[s : s + 4096]), crc(ids[s : s + 4096])) for (d, _), ids in zip(rows, whole) for k, s in enumerate(range(0, len(ids), 4096))), key=repr)
+    assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out), key=repr) == want
+    by_sequence = defaultdict(list)
+    for r in out:
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spans in by_sequence.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 4096

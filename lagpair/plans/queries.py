@@ -13,7 +13,7 @@ from lagpair.operators import attention, folds, metrics, pairs, sampling, signal
 from lagpair.plans import bindings as B
 from lagpair.plans.bindings import table
 from lagpair.sources import arrays, checkpoints, tables
-from lagpair.sources.shared import work_path
+from lagpair.sources.shared import stored, work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -297,7 +297,7 @@ def train_linear_head(spark, sf_dir):
     rows = B.vector_pairs(spark, sf_dir)
     flipped = F.col("label") == 1
     x = F.transform(vectors.delta(F.col("x0"), F.col("x1")), lambda v: F.when(flipped, -v).otherwise(v))
-    data = rows.select("id", "label", x.alias("x")).join(folds.fold_map(B.event_pairs(spark, sf_dir), B.FOLDS, B.SEED), "id")
+    data = stored(rows.select("id", "label", x.alias("x")).join(folds.fold_map(B.event_pairs(spark, sf_dir), B.FOLDS, B.SEED), "id"), "deltas")
     train, test = folds.split(data, B.TEST_FOLD)
     scored = training.apply_head(training.fit_head(train), test)
     auc = metrics.auroc(scored, "p1", "label").select("auc")

@@ -1,17 +1,21 @@
 """Content-addressed WARC archive.
 
 Payload bytes are stored once, under their SHA-256, in one table; exact record
-headers stand in another. Records are reconstructed by joining the two on the
-digest, and every payload is verified against its digest on the way.
+and HTTP headers stand in another. Records are reconstructed by joining the two
+on the digest, and every payload is verified against its digest on the way. What
+is read back of records alone (:func:`archived`) moves digests and lengths of
+payloads, not their bytes.
 
-All but the export to .warc.gz files is DataFrame expressions. A page whose payload occurs more often is a
-``revisit`` of the page with the largest id among the equal ones; payloads under
-``min_revisit_bytes`` are never revisited.
+All but the export to .warc.gz files is DataFrame expressions. A page whose
+payload occurs more often is a ``revisit`` of the page with the largest id among
+the equal ones; payloads under ``min_revisit_bytes`` are never revisited. A
+response's block is an HTTP head and the payload, a revisit's the head alone.
 
 Edge cases: a null html is the empty payload; a null url is written as
 ``about:blank``; empty tables give empty archives. Rows that repeat a page_id
 with one payload are each a record, of one type; their payload is stored once.
-A null page_id sorts below all others and a ``refers_to`` of it is null. Columns of ``pages`` other than page_id, url and html
+A null page_id sorts below all others, a ``refers_to`` of it is null, and its
+record has a UUID for an id. Columns of ``pages`` other than page_id, url and html
 are ignored.
 """
 
@@ -81,23 +85,26 @@ def records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
 
 
 def with_headers(recs: DataFrame) -> DataFrame:
-    """Adds the exact header bytes of each record."""
+    """Adds the exact header bytes of each record, and the HTTP head that its block begins with."""
     revisit = F.col("record_type") == "revisit"
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+    urn = F.coalesce(F.concat(F.lit("page:"), F.col("page_id").cast("string")), F.concat(F.lit("uuid:"), F.uuid()))
+    size = F.col("payload_bytes")
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html;charset=utf-8{CRLF}Content-Length: "), size.cast("string"), F.lit(CRLF + CRLF))
+    block = F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(size)
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.col("record_type")),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), page, F.lit(">")),
+        F.concat(F.lit("WARC-Record-ID: <urn:"), urn, F.lit(">")),
         F.concat(F.lit("WARC-Date: "), F.lit(WARC_DATE)),
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]", " ")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest")),
-        F.concat(F.lit("X-Payload-Length: "), F.col("payload_bytes").cast("string")),
-        F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.coalesce(F.col("refers_to").cast("string"), F.lit("null")), F.lit(">"))),
-        F.lit("Content-Type: text/html;charset=utf-8"),
-        F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit("0")).otherwise(F.col("payload_bytes").cast("string"))),
+        F.concat(F.lit("X-Payload-Length: "), size.cast("string")),
+        F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
+        F.when(revisit & F.col("refers_to").isNotNull(), F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))),
+        F.lit("Content-Type: application/http;msgtype=response"),
+        F.concat(F.lit("Content-Length: "), block.cast("string")),
     ]
-    return recs.withColumn("header", F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF)).cast("binary"))
+    return recs.withColumns({"header": F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF)).cast("binary"), "http": http.cast("binary")})
 
 
 def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> None:
@@ -107,7 +114,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> No
     owners on digest and id together, a key that no group of copies shares.
     """
     spark = pages.sparkSession
-    with_headers(records(pages, min_revisit_bytes)).select("page_id", "record_type", "content_key", "header").write.parquet(f"{path}/headers")
+    with_headers(records(pages, min_revisit_bytes)).select("page_id", "record_type", "content_key", "header", "http").write.parquet(f"{path}/headers")
     responses = spark.read.parquet(f"{path}/headers").where("record_type = 'response'")
     owner = responses.groupBy("content_key").agg(F.max(_known("page_id")).alias("owner_id"))
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -117,24 +124,26 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> No
     (owned.dropDuplicates(["content_key"]) if repeats else owned).write.parquet(f"{path}/payloads")
 
 
+def read_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """(content_key, payload) of each distinct payload. Fails on bytes that do not match their digest."""
+    damaged = F.raise_error(F.lit("payload does not match its digest"))
+    return spark.read.parquet(f"{path}/payloads").select("content_key", F.when(F.sha2("payload", 256) == F.col("content_key"), F.col("payload")).otherwise(damaged).alias("payload"))
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Reconstructs each record: (header, payload, record bytes). Revisits carry no payload of their own in the record,
-    but ``payload`` has the bytes that they refer to. Fails on bytes that do not match their digest."""
-    heads = spark.read.parquet(f"{path}/headers").select("content_key", "header", "record_type")
-    bodies = spark.read.parquet(f"{path}/payloads").select(
-        "content_key",
-        F.when(F.sha2("payload", 256) == F.col("content_key"), F.col("payload")).otherwise(F.raise_error(F.lit("payload does not match its digest"))).alias("payload"),
-    )
+    but ``payload`` has the bytes that they refer to."""
+    heads = spark.read.parquet(f"{path}/headers").select("content_key", "header", "http", "record_type")
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return heads.join(bodies, "content_key", "left").select(
+    return heads.join(read_payloads(spark, path), "content_key", "left").select(
         "header",
         F.coalesce("payload", F.raise_error(F.lit("payload is missing")).cast("binary")).alias("payload"),
-        F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"),
+        F.concat("header", "http", body, F.lit(b"\r\n\r\n")).alias("record"),
     )
 
 
-def parse_records(recs: DataFrame) -> DataFrame:
-    """Reads page_id, payload length and digest, type and reference back from record bytes."""
+def parse_headers(heads: DataFrame) -> DataFrame:
+    """Reads page_id, type, reference, address and digest from header bytes, beside the other columns."""
     head = F.col("header").cast("string")
 
     def field(name: str, value: str = "[^\r\n]*") -> Column:
@@ -142,23 +151,27 @@ def parse_records(recs: DataFrame) -> DataFrame:
 
     refers = F.regexp_extract(head, "(?m)^WARC-Refers-To: <urn:page:(-?[0-9]+)>", 1)
     page = F.regexp_extract(head, "(?m)^WARC-Record-ID: <urn:page:(-?[0-9]+)>", 1)
-    return recs.select(
+    return heads.select(
         F.when(page != "", page.cast("long")).alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        base32_sha1(F.col("payload")).alias("payload_digest"),
+        "payload_bytes",
+        "payload_digest",
         field("WARC-Type").alias("record_type"),
         F.when(refers != "", refers.cast("long")).alias("refers_to"),
         field("WARC-Target-URI").alias("url"),
-        (field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), base32_sha1(F.col("payload")))).alias("digest_ok"),
+        (field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest"))).alias("digest_ok"),
     )
 
 
 def archived(pages: DataFrame, path: str | None = None, min_revisit_bytes: int = 0) -> DataFrame:
-    """Writes the pages as an archive, reads it back and parses its records."""
+    """Writes the pages as an archive, reads it back and parses its records; lengths and digests are those of the payload bytes
+    that were read."""
     spark = pages.sparkSession
     path = path or work_path(spark, "warc")
     write_archive(pages, path, min_revisit_bytes)
-    return parse_records(read_records(spark, path))
+    sizes = read_payloads(spark, path).select("content_key", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
+    missing = F.raise_error(F.lit("payload is missing"))
+    heads = spark.read.parquet(f"{path}/headers").select("content_key", "header").join(sizes, "content_key", "left")
+    return parse_headers(heads.withColumn("payload_bytes", F.coalesce("payload_bytes", missing.cast("long"))))
 
 
 def _exported(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:

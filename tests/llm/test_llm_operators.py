@@ -199,6 +199,11 @@ def test_archive_round_trip(spark):
     record = {bytes(r["header"]): bytes(r["record"]) for r in warc.read_records(spark, path).collect()}
     one = next(v for k, v in record.items() if b"urn:page:6>" in k)
     assert one.startswith(b"WARC/1.1\r\n") and one.endswith("é日\x00".encode() + b"\r\n\r\n")
+    for record in record.values():  # the block is an HTTP head and, of a response, the payload
+        head, block = record[:-4].split(b"\r\n\r\n", 1)
+        assert b"Content-Length: %d" % len(block) in head.split(b"\r\n") and block.startswith(b"HTTP/1.1 200 OK\r\n")
+        size = int(re.search(rb"X-Payload-Length: (\d+)", head)[1])
+        assert len(block.split(b"\r\n\r\n", 1)[1]) == (0 if b"WARC-Type: revisit" in head.split(b"\r\n") else size)
     assert all(r["record_type"] == "response" for r in warc.archived(df, min_revisit_bytes=1000).collect())
     assert warc.archived(df.limit(0)).count() == 0
 
@@ -222,6 +227,10 @@ def test_archive_rejects_damaged_payloads(spark):
     spark.read.parquet(f"{path}/other").write.parquet(f"{path}/payloads")
     with pytest.raises(Exception, match="digest"):
         warc.read_records(spark, path).collect()
+    warc.remove(spark, f"{path}/payloads")
+    spark.createDataFrame([], "content_key string, payload binary").write.parquet(f"{path}/payloads")
+    with pytest.raises(Exception, match="missing"):
+        warc.read_records(spark, path).collect()
 
 
 # language

@@ -118,23 +118,22 @@ def _grams(raw: np.ndarray, offsets: np.ndarray, bits: int, wanted: np.ndarray |
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows of each class, by part, that hold each place; place -1 counts all rows."""
-    totals = np.zeros((2 * INNER, 1 << bits), np.int32)
-    rows = np.zeros(2 * INNER, np.int64)
+    """Rows of each kind (twice the part, one more if toxic) that hold each place, chunk by chunk; place -1 counts all rows."""
     for batch in batches:
         kind = 2 * batch.column("part").to_numpy().astype(np.int64) + batch.column("toxic").to_numpy()
-        rows += np.bincount(kind, minlength=2 * INNER)
-        for a, _, raw, offsets in K.chunks(batch.column("text")):
+        for a, b, raw, offsets in K.chunks(batch.column("text")):
             row, place = grams(raw, offsets, bits)
-            for k in np.unique(kind[a : a + len(offsets) - 1]).tolist():
-                np.add.at(totals[k], place[kind[a + row] == k], 1)
-    seen = np.flatnonzero(totals.any(axis=0))
-    if rows.any():
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), *(pa.array(np.append(t[seen], n).astype(np.int64)) for t, n in zip(totals, rows))], names=["place", *COUNTS])
+            key, n = np.unique(kind[a + row] << bits | place, return_counts=True)
+            of, rows = np.unique(kind[a:b], return_counts=True)
+            places, kinds, counts = np.append(key & ((1 << bits) - 1), np.full(len(of), -1)), np.append(key >> bits, of), np.append(n, rows)
+            for s in range(0, len(places), EMITTED):
+                yield pa.RecordBatch.from_arrays([pa.array(x[s : s + EMITTED].astype(np.int32)) for x in (places, kinds, counts)], names=["place", "kind", "n"])
 
 
 #: Rows without (n) and with (t) a toxic label in each part.
 COUNTS = [f"{y}{k}" for k in range(INNER) for y in "nt"]
+#: Rows of a batch of counts.
+EMITTED = 1 << 16
 
 
 def ratios(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> tuple[np.ndarray, np.ndarray]:
@@ -258,8 +257,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, bits: int = BITS, max
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(INNER)).cast("int")
     rows = stored(text_rows(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", part.alias("part"), "text"), "labelled")
-    counts = rows.mapInArrow(lambda b: _class_counts(b, bits), "place long, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("place").agg(*(F.sum(c).alias(c) for c in COUNTS))
-    counts = stored(counts, "gram-counts")
+    by_kind = rows.mapInArrow(lambda b: _class_counts(b, bits), "place int, kind int, n int").groupBy("place")
+    counts = stored(by_kind.agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(c) for k, c in enumerate(COUNTS))), "gram-counts")
     head = counts.where("place = -1").first()
     total = np.array([head[c] for c in COUNTS]) if head else np.zeros(2 * INNER, np.int64)
     if not total[0::2].any() or not total[1::2].any():
@@ -267,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, bits: int = BITS, max
         return None
     table = _surest(counts, total).orderBy("place").toArrow()
     places = table.column("place").to_numpy()
-    by_kind = np.stack([table.column(c).to_numpy() for c in COUNTS])
+    sums = np.stack([table.column(c).to_numpy() for c in COUNTS])
     got = rows.mapInArrow(lambda b: _vectors(b, bits, places), "toxic int, part int, bits binary").toArrow()
     y, parts = got.column("toxic").to_numpy(), got.column("part").to_numpy()
     features = [np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8), count=len(places))) for b in got.column("bits").to_pylist()]
@@ -275,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, bits: int = BITS, max
 
     def model(mine: np.ndarray) -> tuple[np.ndarray, float]:
         among = np.isin(parts, mine)
-        (clean, n), (toxic, m) = ((by_kind[2 * mine + i].sum(axis=0), total[2 * mine + i].sum()) for i in (0, 1))
+        (clean, n), (toxic, m) = ((sums[2 * mine + i].sum(axis=0), total[2 * mine + i].sum()) for i in (0, 1))
         return fit_weights(used(clean, toxic, n, m), [features[r] for r in np.flatnonzero(among)], y[among].astype(float), penalty)
 
     unseen = np.full(len(y), np.nan)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,13 @@ def gelu(x: np.ndarray) -> np.ndarray:
     return x * 0.5 * (1 + np.vectorize(erf, otypes=[float])(x / np.sqrt(2.0)))
 
 
+def gelu_slope(x: np.ndarray) -> np.ndarray:
+    """Derivative of :func:`gelu`."""
+    from math import erf
+
+    return 0.5 * (1 + np.vectorize(erf, otypes=[float])(x / np.sqrt(2.0))) + x * np.exp(-x * x / 2) / np.sqrt(2 * np.pi)
+
+
 @dataclass(frozen=True)
 class AttentivePool:
     """One query attends over a text's tokens with several heads; its output passes an output projection and a GELU MLP."""
@@ -57,24 +65,55 @@ class AttentivePool:
         out = np.einsum("rht,rthd->rhd", a, v).reshape(len(x), self.embed_dim) @ w["wo"].T + w["bo"]
         return gelu(out @ w["up"].T + w["up_b"]) @ w["down"].T + w["down_b"]
 
+    def gradient(self, tokens: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Gradient of ``weight`` times the pooled vector by every number of ``tokens``, of their shape."""
+        w, dim = self.weights, self.embed_dim // self.heads
+        x = tokens @ w["project"].T if "project" in w else tokens
+        split = lambda z: z.reshape(*z.shape[:-1], self.heads, dim)
+        q = split(w["query"] @ w["wq"].T + w["bq"])[0]
+        k, v = split(x @ w["wk"].T + w["bk"]), split(x @ w["wv"].T + w["bv"])
+        z = np.einsum("hd,rthd->rht", q, k) / np.sqrt(dim)
+        a = np.exp(z - z.max(axis=-1, keepdims=True))
+        a /= a.sum(axis=-1, keepdims=True)
+        out = np.einsum("rht,rthd->rhd", a, v).reshape(len(x), self.embed_dim) @ w["wo"].T + w["bo"]
+        d_up = (weight @ w["down"]) * gelu_slope(out @ w["up"].T + w["up_b"])
+        d_heads = split(d_up @ w["up"] @ w["wo"])
+        d_a = np.einsum("rthd,rhd->rht", v, d_heads)
+        d_z = a * (d_a - (a * d_a).sum(axis=-1, keepdims=True))
+        d_k = np.einsum("rht,hd->rthd", d_z, q) / np.sqrt(dim)
+        d_v = np.einsum("rht,rhd->rthd", a, d_heads)
+        whole = lambda g: g.reshape(*g.shape[:2], self.embed_dim)
+        d_x = whole(d_k) @ w["wk"] + whole(d_v) @ w["wv"]
+        return d_x @ w["project"] if "project" in w else d_x
+
     def pooled(self, flat: Column) -> Column:
-        """Pools a column of flat vectors."""
-        model = self
+        """Pools a column of flat vectors; a null, or a vector that is no whole number of tokens, gives null."""
+        return self._applied(flat, lambda x: self(x))
+
+    def saliency(self, flat: Column, weight: list[float], before: bool = False) -> Column:
+        """Gradient of a linear head's logit by a pair's flat vector, pooled here: the after side, or the before side, whose
+        sign is the other."""
+        row = np.array(weight, dtype=np.float64) * (-1 if before else 1)
+        return self._applied(flat, lambda x: self.gradient(x, row).reshape(len(x), -1))
+
+    def _applied(self, flat: Column, of: Callable[[np.ndarray], np.ndarray]) -> Column:
+        width = self.input_dim
 
         @F.pandas_udf("array<double>")
-        def pool(column: pd.Series) -> pd.Series:
+        def apply(column: pd.Series) -> pd.Series:
             rows = column.to_numpy()
             sizes = np.array([0 if x is None else len(x) for x in rows], dtype=np.int64)
             out = np.full(len(rows), None, dtype=object)
-            for size in np.unique(sizes[(sizes > 0) & (sizes % model.input_dim == 0)]).tolist():
+            for size in np.unique(sizes[(sizes > 0) & (sizes % width == 0)]).tolist():
                 mine = np.flatnonzero(sizes == size)
                 for s in range(0, len(mine), ROWS):
                     part = mine[s : s + ROWS]
-                    x = np.stack(rows[part]).astype(np.float64).reshape(len(part), size // model.input_dim, model.input_dim)
-                    out[part] = list(model(x))
+                    x = np.stack(rows[part]).astype(np.float64).reshape(len(part), size // width, width)
+                    for i, v in zip(part.tolist(), of(x)):
+                        out[i] = v
             return pd.Series(out)
 
-        return pool(flat)
+        return apply(flat)
 
 
 @dataclass(frozen=True)
@@ -108,7 +147,8 @@ class MlpHead:
             fit = np.array([v is not None and len(v) == head.hidden.shape[1] for v in rows], dtype=bool)
             for s in range(0, int(fit.sum()), ROWS):
                 part = np.flatnonzero(fit)[s : s + ROWS]
-                out[part] = list(head(np.stack(rows[part]).astype(np.float64)))
+                for i, v in zip(part.tolist(), head(np.stack(rows[part]).astype(np.float64))):
+                    out[i] = v
             return pd.Series(out)
 
         return apply(x)

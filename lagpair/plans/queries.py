@@ -304,6 +304,29 @@ def train_linear_head(spark, sf_dir):
     return scored.agg(F.count(F.lit(1)).alias("n"), metrics.accuracy("pred", "label").alias("acc")).crossJoin(F.broadcast(auc))
 
 
+@query
+def train_mlp_head(spark, sf_dir):
+    """The GELU head by AdamW on deltas of the training folds, a fourth of them a step; loss and accuracy on the test fold."""
+    rows = B.vector_pairs(spark, sf_dir, mean_pooled)
+    flipped = F.col("label") == 1
+    x = F.transform(vectors.delta(F.col("x0"), F.col("x1")), lambda v: F.when(flipped, -v).otherwise(v))
+    data = stored(rows.select("id", "label", x.alias("x")).join(folds.fold_map(B.event_pairs(spark, sf_dir), B.FOLDS, B.SEED), "id"), "deltas")
+    train, test = folds.split(data, B.TEST_FOLD)
+    w, _ = training.AdamW(rate=0.01, batches=4).fit(train, 8, "mlp")
+    z = training.MlpModel(B.TOKEN_DIM).head(w).logits(F.col("x"))
+    scored = test.select("label", z.alias("z")).select("label", vectors.argmax(F.col("z")).alias("pred"), vectors.cross_entropy(F.col("z"), F.col("label")).alias("ce"))
+    return scored.agg(F.count(F.lit(1)).alias("n"), F.avg("ce").alias("loss"), metrics.accuracy("pred", "label").alias("acc"))
+
+
+@query
+def saliency_attentive(spark, sf_dir):
+    """Gradient of the first class's logit by each number of a vector of the after side: attentive pool and linear head."""
+    model = attention.AttentivePool.fixed(B.TOKEN_DIM, B.TOKEN_DIM, heads=2)
+    g = model.saliency(F.col("embedding"), B.WEIGHTS[0][: B.TOKEN_DIM])
+    rows = B.embeddings(spark, sf_dir).select(F.col("dataset_idx").alias("vec_id"), F.posexplode(g).alias("pos", "v"))
+    return rows.select("vec_id", F.floor(F.col("pos") / B.TOKEN_DIM).cast("long").alias("tok"), (F.col("pos") % B.TOKEN_DIM).cast("long").alias("dim"), "v")
+
+
 # head and metrics
 
 

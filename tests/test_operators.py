@@ -142,6 +142,44 @@ def test_attention_against_loops(spark):
         attention.AttentivePool.fixed(8, 6, heads=4)
 
 
+def test_attentive_gradient_against_differences(spark):
+    for dims in ((6, 8), (8, 8)):
+        m = attention.AttentivePool.fixed(*dims, heads=2)
+        rng = np.random.default_rng(4)
+        x, w = rng.normal(size=(2, 3, dims[0])), rng.normal(size=8)
+        got = m.gradient(x, w)
+        for place in np.ndindex(x.shape):
+            up, down = x.copy(), x.copy()
+            up[place] += 1e-5
+            down[place] -= 1e-5
+            assert math.isclose(got[place], (m(up) @ w - m(down) @ w)[place[0]] / 2e-5, rel_tol=1e-4, abs_tol=1e-8)
+    df = spark.createDataFrame([(0, x[0].ravel().tolist()), (1, None)], "k int, x array<double>")
+    rows = {r["k"]: r for r in df.select("k", m.saliency(F.col("x"), w.tolist()).alias("g"), m.saliency(F.col("x"), w.tolist(), before=True).alias("h")).collect()}
+    assert np.allclose(rows[0]["g"], got[0].ravel()) and np.allclose(rows[0]["h"], -got[0].ravel()) and rows[1]["g"] is None
+
+
+def test_mlp_training(spark):
+    model, rng = training.MlpModel(3), np.random.default_rng(7)
+    x, y = rng.normal(size=(6, 3)), np.array([0.0, 1, 1, 0, 1, 0])
+    w = model.start(1)
+    _, g = model.loss(w, x, y)
+    for k in range(len(w)):
+        up, down = w.copy(), w.copy()
+        up[k] += 1e-6
+        down[k] -= 1e-6
+        assert math.isclose(g[k], (model.loss(up, x, y)[0] - model.loss(down, x, y)[0]) / 2e-6, rel_tol=1e-4, abs_tol=1e-6)
+    x = rng.uniform(-1, 1, size=(400, 2))
+    rows = [(v.tolist(), int(v[0] * v[1] > 0)) for v in x] + [(None, 1), ([0.0, 0.0], None)]  # no line parts the classes
+    df = spark.createDataFrame(rows, "x array<double>, label int").repartition(2)
+    w, losses = training.AdamW(rate=0.2, batches=2).fit(df, 60, "mlp")
+    z = training.MlpModel(2).head(w)(x)
+    assert losses[-1] < 0.5 * losses[0] and np.mean((z[:, 1] > z[:, 0]) == (x[:, 0] * x[:, 1] > 0)) > 0.9
+    with pytest.raises(ValueError):
+        training.AdamW().fit(df, 1, "tree")
+    with pytest.raises(ValueError):
+        training.AdamW().fit(df.limit(0), 1)
+
+
 def test_mlp_head_against_loops(spark):
     head = attention.MlpHead.fixed(3)
     x = np.random.default_rng(2).normal(size=(4, 3))

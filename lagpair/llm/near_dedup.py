@@ -225,28 +225,31 @@ def linked(members: DataFrame, compare: Callable[[Iterator[pa.RecordBatch]], Ite
     """
     payload = [c for c in members.columns if c not in ("unit", "node", "pivot", "blocks")]
     columns = ["unit", "p", "q", "pivot", "node", *payload]
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     none, zero = F.lit(None).cast("long"), F.lit(0)
-    whole = members.where("blocks = 1").select("unit", zero.alias("p"), zero.alias("q"), none.alias("pivot"), "node", *payload)
-    split = members.where("blocks > 1")
-    dealt = split.where("node <> pivot").select("unit", own.alias("p"), zero.alias("q"), "pivot", "node", *payload)
-    pivots = split.where("node = pivot").select("unit", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("p"), zero.alias("q"), "pivot", "node", *payload)
 
-    def compared(units: DataFrame) -> DataFrame:
-        dealt_out = units.select(*columns).repartition("unit", "p", "q").sortWithinPartitions("unit", "p", "q", "node")
-        return dealt_out.mapInArrow(compare, FOUND)
+    def place(p: Column, q: Column, pivot: Column = none) -> Column:
+        return F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"), pivot.alias("hub"))
 
-    first = stored(compared(whole.unionByName(dealt).unionByName(pivots)), name)
-    left = first.where("b is null").select("unit", F.col("a").alias("node")).distinct()
+    def every(n: Column, of: Callable[[Column], Column]) -> Column:
+        return F.transform(F.sequence(zero, n - 1), of)
+
+    def compared(rows: DataFrame, places: Column) -> DataFrame:
+        dealt = rows.select("unit", F.explode(places).alias("at"), "node", *payload).select("unit", "at.p", "at.q", F.col("at.hub").alias("pivot"), "node", *payload)
+        units = dealt.select(*columns).repartition("unit", "p", "q").sortWithinPartitions("unit", "p", "q", "node")
+        return stored(units.mapInArrow(compare, FOUND), name)
+
+    blocks, own, pivot = F.col("blocks"), F.pmod(F.xxhash64("node"), F.col("blocks")), F.col("pivot")
+    alone = F.when(F.col("node") == pivot, every(blocks, lambda p: place(p, zero, pivot))).otherwise(F.array(place(own, zero, pivot)))
+    first = compared(members, F.when(blocks == 1, F.array(place(zero, zero))).otherwise(alone))
+    left = first.where("b is null").select("unit", F.col("a").alias("node"), F.lit(True).alias("left")).distinct()
     if left.isEmpty():
         return first
     parts = left.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / F.lit(half)).cast("int").alias("parts"))
-    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("p")
-    rest = left.join(parts, "unit").join(split, ["unit", "node"]).select("unit", mine, F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("q"), none.alias("pivot"), "node", *payload)
-    others = split.join(parts, "unit").join(left, ["unit", "node"], "left_anti").select("unit", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("p"), own.alias("q"), none.alias("pivot"), "node", *payload)
-    mixed = left.join(parts, "unit").join(split, ["unit", "node"]).select("unit", mine.alias("_mine"), own.alias("q"), "parts", "node", *payload)
-    crossed = mixed.select("unit", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("p"), "q", none.alias("pivot"), "node", *payload, "_mine").where("p <> _mine").drop("_mine")
-    second = stored(compared(rest.unionByName(others).unionByName(crossed)), name)
+    rest = members.where("blocks > 1").join(parts, "unit").join(left, ["unit", "node"], "left")
+    mine = F.pmod(F.xxhash64("node"), F.col("parts"))
+    met = every(F.col("parts"), lambda p: place(p, own))  # the parts of those that are left, where this one's block meets them
+    both = F.concat(every(blocks, lambda q: place(mine, q)), F.filter(met, lambda x: x["p"] != mine))
+    second = compared(rest, F.when(F.col("left"), both).otherwise(met))
     return first.unionByName(second)
 
 
@@ -320,8 +323,9 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, shin
     blocks = F.greatest(blocks_of(F.col("members"), GROUP), blocks_of(F.col("weight"), GROUP_SHINGLES))
     placed = stored(every.select("node", "root").join(sizes, "root").select(F.col("root").alias("unit"), "node", F.col("root").alias("pivot"), blocks.alias("blocks")), "placed")
     texts, _ = marked(text_rows(docs, "doc_id", "text").withColumnRenamed("doc_id", "node"), "node", marks(placed, "node"))
-    found = linked(texts.join(placed, "node"), lambda b: _text_links(b, shingle, percent), GROUP // 2, "text-links")
-    discard(sizes)
+    held = stored(texts.join(placed, "node"), "group-texts")
+    found = linked(held, lambda b: _text_links(b, shingle, percent), GROUP // 2, "text-links")
+    discard(sizes, placed, held)
     return found.where("b is not null").select("a", "b")
 
 

@@ -56,7 +56,8 @@ def _byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in plain}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
 
 
-BYTE_LETTERS = _byte_letters()
+#: UTF-16 code of the letter of each byte.
+BYTE_LETTERS = np.array([ord(letter) for _, letter in sorted(_byte_letters().items())], dtype="<u2")
 
 
 class Encoder:
@@ -90,8 +91,8 @@ class Encoder:
         found = [m.start() for mark in self.marks if mark in text for m in re.finditer(re.escape(mark), text)]
         return np.unique(np.searchsorted(at, found, side="right") - 1).astype(np.int64)
 
-    def _slots(self, hashes: np.ndarray, first: np.ndarray, last: np.ndarray, text: str) -> np.ndarray:
-        """A slot for each distinct word; new words are encoded."""
+    def _slots(self, hashes: np.ndarray, first: np.ndarray, last: np.ndarray, raw: np.ndarray) -> np.ndarray:
+        """A slot for each distinct word of the bytes; new words are encoded."""
         if self.n_words > KEPT_WORDS:
             self.forget()
         out = np.full(len(hashes), -1, np.int64)
@@ -104,13 +105,11 @@ class Encoder:
         get, tokenize, recent = self.recent.get, self.tokenizer.model.tokenize, self.recent
         flat: list[int] = []
         lengths: list[int] = []
+        letters = BYTE_LETTERS[raw].tobytes().decode("utf-16-le") if len(missing) else ""
         for k, h, a, b in zip(missing.tolist(), hashes[missing].tolist(), first[missing].tolist(), last[missing].tolist()):
             slot = get(h)
             if slot is None:
-                word = text[a:b]
-                if not self.spaced:
-                    word = word.lower()
-                ids = [t.id for t in tokenize(word.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS))]
+                ids = [t.id for t in tokenize(letters[a:b])]
                 slot = recent[h] = self.n_words + len(lengths)
                 flat += ids
                 lengths.append(len(ids))
@@ -169,7 +168,12 @@ class Encoder:
             hashes, first, last = hashes[~drop], first[~drop], last[~drop]
             row_of = np.searchsorted(first, at)
         distinct, at_first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        slots = self._slots(distinct, first[at_first], last[at_first], text)[inverse]
+        if not self.spaced:
+            raw = np.frombuffer(known.tobytes().decode("utf-32-le").encode("utf-8"), np.uint8)
+        if len(cps) != len(raw):  # the first byte of each code point
+            byte = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+            first, last = byte[first], byte[last]
+        slots = self._slots(distinct, first[at_first], last[at_first], raw)[inverse]
         sizes = self.lengths[slots].astype(np.int64)
         ids = self.flat[K.ragged(self.starts[slots].astype(np.int64), sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])

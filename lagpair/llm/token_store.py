@@ -59,7 +59,7 @@ SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 def _packed(data: bytes) -> bytes:
     """Compressed bytes, or the bytes themselves where that is no longer."""
-    small = pa.Codec("zstd", compression_level=6).compress(data, asbytes=True)
+    small = pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
     return small if len(small) < len(data) else data
 
 
@@ -132,12 +132,13 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
-        ids = ids.astype(np.uint32)
         if len(ids) and int(ids.max()) >> bits:
             raise ValueError(f"id {ids.max()} has more than {bits} bits")
+        kind = np.uint16 if bits <= 16 else np.uint32
+        ids = ids.astype(kind)
         planes, zeros = [], []
         for level in range(bits - 1, -1, -1):
-            bit = ((ids >> np.uint32(level)) & np.uint32(1)).astype(bool)
+            bit = (ids & kind(1 << level)) != 0
             planes.append(Plane.build(bit))
             low = ids[~bit]
             zeros.append(len(low))
@@ -186,14 +187,15 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids in order. From the last plane up, each plane's order is undone in one pass over its bits."""
-        ids = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        ids = np.zeros(self.n, kind)
         for level in range(self.bits - 1, -1, -1):
             bit, zeros = self.planes[level].all(), self.zeros[level]
             back = np.empty_like(ids)
             back[~bit] = ids[:zeros]
-            back[bit] = ids[zeros:] | np.uint32(1 << (self.bits - 1 - level))
+            back[bit] = ids[zeros:] | kind(1 << (self.bits - 1 - level))
             ids = back
-        return ids
+        return ids.astype(np.uint32)
 
 
 def write_shard(out, doc_ids: np.ndarray, null_docs: int, counts: np.ndarray, ids: np.ndarray, bits: int) -> None:
@@ -333,7 +335,7 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordB
 def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
     """A row per document, from the shard files: its place in the whole sequence, its ids' number and checksum."""
     n = manifest.count()
-    tasks = max(1, min(n, manifest.sparkSession.sparkContext.defaultParallelism), -(-n // SHARDS_A_TASK))
+    tasks = max(1, min(n, 4 * manifest.sparkSession.sparkContext.defaultParallelism), -(-n // SHARDS_A_TASK))
     return manifest.select("path", "start").repartition(tasks).mapInArrow(lambda b: _read(b, folder), SCHEMA)
 
 

@@ -329,10 +329,14 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, shin
     return found.where("b is not null").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs``; ``percent`` is the least similarity of a link, 80 at least."""
+def _covered(percent: int) -> None:
     if percent < 80:
         raise ValueError("keys, distances and the size filter find links of 80 percent and more alone")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of ``docs``; ``percent`` is the least similarity of a link, 80 at least."""
+    _covered(percent)
     small_batches(docs.sparkSession)
     sketch = stored(sketches(docs, shingle).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "sketches")
     prints = ["fp1", "fp2"]
@@ -360,6 +364,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     The row with the least doc_id stays. Where ids are null or repeat, rows are told apart by a number of their own, and of
     rows of equal ids the one that was numbered first stays; a row without an id stays only if no row of its group has one.
     """
+    _covered(percent)
     rows, key = row_key(docs, "documents")
     if key == "doc_id":
         return without(docs, key, near_duplicates(docs, shingle, percent).where("not kept").select(key))

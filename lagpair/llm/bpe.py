@@ -24,8 +24,8 @@ from lagpair.llm import textkit as K
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 4
 #: Code points with a class of their own lie under this.
 LIMIT = 0x2030
-#: Words that a process keeps, at most, before it starts anew.
-KEPT_WORDS = 800_000
+#: Words that a process keeps, at most, before it starts anew; some 40 bytes each.
+KEPT_WORDS = 2_000_000
 
 
 def _classes() -> np.ndarray:
